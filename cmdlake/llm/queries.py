@@ -6,7 +6,10 @@ import importlib
 
 #: Registered name to module.
 MODULES = {
+    "op3_topk_search": "topk",
     "op7_quality_rules": "quality",
+    "op8_secret_scans": "secrets",
+    "op9_license_scans": "licenses",
     "op10_source_mixing": "mixing",
 }
 
