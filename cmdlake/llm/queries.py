@@ -6,6 +6,8 @@ import importlib
 
 #: Registered name to module.
 MODULES = {
+    "op4_best_fit_packing": "packing",
+    "op5_token_files": "tokens",
     "op3_topk_search": "topk",
     "op7_quality_rules": "quality",
     "op8_secret_scans": "secrets",
