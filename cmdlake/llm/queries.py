@@ -9,6 +9,7 @@ MODULES = {
     "op4_best_fit_packing": "packing",
     "op5_token_files": "tokens",
     "op3_topk_search": "topk",
+    "op6_language_id": "langid",
     "op7_quality_rules": "quality",
     "op8_secret_scans": "secrets",
     "op9_license_scans": "licenses",
