@@ -101,7 +101,7 @@ def sketch(text: str) -> tuple[int, np.ndarray]:
     g = _mix(g)
     order = np.argsort(g, kind="stable")
     same = np.concatenate([[False], g[order][1:] == g[order][:-1]])
-    labelled = g
+    labelled = _mix(g)
     if same.any():  # the occurrence: places since the run of equal ones began
         place = np.arange(len(g))
         nth = np.empty(len(g), np.uint64)
