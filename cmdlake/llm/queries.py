@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op4_best_fit_packing": "packing",
     "op5_token_files": "tokens",
+    "op1_lm_scores": "lm",
     "op2_near_duplicates": "dedup",
     "op3_topk_search": "topk",
     "op6_language_id": "langid",
