@@ -45,7 +45,7 @@ END = b"\n"
 #: Words with counts on every worker (a bound on what is broadcast); the LM's vocabulary and classes; sizes of the network.
 HEAD, VOCABULARY, CLASSES, STATE, EMBED = 1 << 18, 1024, 32, 16, 16
 #: Tokens of a window, windows of a document that a round trains on, documents at once, rounds, learning rate.
-WINDOW, STRETCH, BATCH, ROUNDS, RATE = 16, 3, 32, 2, 8e-3
+WINDOW, STRETCH, BATCH, ROUNDS, RATE = 16, 3, 96, 2, 1.2e-2
 #: Documents scored together.
 TOGETHER = 1024
 #: Tokens of a window in scoring.
