@@ -92,9 +92,9 @@ def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, cut: str = "prefi
     """Writes docs (doc_id, text) as token files below uri; returns the manifest."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    parts = rows.mapInPandas(_writer(uri, tokenizer, cut, end), "part int, docs long, tokens long, width int").orderBy("part").collect()  # a row a file
+    parts = rows.mapInPandas(_writer(uri, tokenizer, cut, end), "part int, docs long, tokens long, width int").collect()  # a row a file; sorting in Spark would encode all texts twice
     base, listed = 0, []
-    for p in parts:
+    for p in sorted(parts, key=lambda p: p["part"]):
         listed.append({"part": p["part"], "docs": p["docs"], "tokens": p["tokens"], "width": p["width"], "base": base})
         base += p["tokens"]
     manifest = {"parts": listed, "tokens": base, "end": end}
