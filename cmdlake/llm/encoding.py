@@ -11,6 +11,8 @@ pieces'. The cuts are exact (tests compare with the library on whole texts):
 
 from __future__ import annotations
 
+import itertools
+import os
 import re
 
 import numpy as np
@@ -36,6 +38,7 @@ class Encoder:
     def __init__(self, path: str, cut: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = {"prefix": self._prefix, "drop": self._drop}[cut]
@@ -67,16 +70,18 @@ class Encoder:
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
         for i in range(0, len(new), 4096):
-            for e in self.tokenizer.encode_batch_fast([self._text(x) for x in new[i : i + 4096]], add_special_tokens=False):
-                got = e.ids
-                while self.used + len(got) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if self.pieces == len(self.starts):
-                    self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-                self.ids[self.used : self.used + len(got)] = got
-                self.starts[self.pieces], self.lengths[self.pieces] = self.used, len(got)
-                self.used += len(got)
-                self.pieces += 1
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([self._text(x) for x in new[i : i + 4096]], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, each), np.int64, len(each))
+            total = int(lengths.sum())
+            while self.used + total > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while self.pieces + len(each) > len(self.starts):
+                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(each), np.uint32, total)
+            self.starts[self.pieces : self.pieces + len(each)] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[self.pieces : self.pieces + len(each)] = lengths
+            self.used += total
+            self.pieces += len(each)
 
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids of each text (null: empty), each followed by end."""
