@@ -6,8 +6,9 @@ It is trained in numpy on windows of labelled texts. A text of any length is spl
 into windows of one size (its last window is padded, none is left out) and the windows'
 log probabilities are averaged by the bytes they hold.
 
-The training sample is bounded: PER_LANG documents of each language (those whose hash
-of id is smallest), WINDOWS windows of each. The languages are those of the training
+The training sample is bounded: about PER_LANG documents of each language (those whose
+hash of id lies under a bound set by the language's count; never over twice as many in
+all), WINDOWS windows of each. The languages are those of the training
 rows, at most MOST_LANGS, the most frequent first. Prediction covers every text and
 reads nothing but the text.
 
@@ -26,7 +27,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ._shared import id_remainder
 
@@ -111,19 +111,15 @@ def windows_of(data: bytes) -> np.ndarray:
 def train(docs: DataFrame, *, per_lang: int = PER_LANG, windows: int = WINDOWS, seed: int = 0) -> ByteCnn | None:
     """Fits the network to training rows of docs (doc_id, text, lang); None if there are none."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & (id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()]
+    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    langs = list(held)
     if not langs:
         return None
     # Of each document a few windows at places given by hashes, so that what is collected is bounded whatever the texts.
     h = lambda i: F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1)))
     cut = F.array(*(F.substring(F.col("text"), (h(i) + 1).cast("int"), F.lit(WINDOW)) for i in range(windows)))
-    keys = rows.select("lang", "doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
-    # The smallest hashes of each language: first within tasks' shares, then of those.
-    share = F.pmod(F.col("h"), F.lit(256))
-    first = keys.withColumn("r", F.row_number().over(W.partitionBy("lang", share).orderBy("h", "doc_id"))).filter(F.col("r") <= per_lang)
-    picked = first.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= per_lang)
-    most = {r["lang"]: r["h"] for r in picked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    bound = F.create_map(*[x for k, v in most.items() for x in (F.lit(k), F.lit(v))])
+    # Hashes of ids are spread evenly, so a bound by each language's count keeps about per_lang documents, with no window over a language.
+    bound = F.create_map(*[x for k, n in held.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, (1 << 64) * per_lang // n - (1 << 63))))])
     some = rows.filter(F.col("lang").isin(*langs) & (F.xxhash64("doc_id", F.lit(seed)) <= bound[F.col("lang")]))
     got = some.select("lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"), cut.alias("cut")).limit(2 * per_lang * len(langs)).collect()
     got.sort(key=lambda r: (r["lang"], r["h"], r["cut"]))
