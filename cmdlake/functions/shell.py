@@ -348,3 +348,26 @@ def feature_names(bits: Column) -> Column:
     """Names of the bits in order, or none."""
     found = F.array_join(F.array_compact(F.array(*(F.when(bits.bitwiseAND(b) != 0, n) for n, b in FEATURE_BITS.items()))), " ")
     return F.when(bits == 0, "none").otherwise(found)
+
+
+#: What kinds of nodes an edge may join, as from>to.
+ENDS = {
+    **dict.fromkeys(("PIPE", "SEQ", "AND", "OR", "SUBST", "CWD"), ("CMD>CMD",)), **dict.fromkeys(("READ", "ENV"), ("DOC>CMD",)), **dict.fromkeys(("WRITE", "APPEND"), ("CMD>DOC",)),
+    "ARG": ("CMD>DOC", "DOC>CMD"),
+}
+MOST_PROBLEMS = 16
+
+
+def graph_problems(g: DataFrame) -> DataFrame:
+    """cmd_id, problems: nodes without a directory and edges that end nowhere or join the wrong kinds; at most 16 of a graph."""
+    ends = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in ENDS.items() for x in kv])
+    kind = lambda i: F.get("nodes", i)["kind"]
+    node = lambda n: F.when((n["kind"] == "CMD") & n["cwd"].isNull(), F.concat(F.lit("node "), n["node_id"], F.lit(" has no directory")))
+
+    def edge(e: Column) -> Column:
+        name = F.concat(F.lit("edge "), e["edge_id"])
+        pair = F.concat(kind(e["src"]), F.lit(">"), kind(e["dst"]))
+        return F.when(pair.isNull(), F.concat(name, F.lit(" ends nowhere"))).when(~F.coalesce(F.array_contains(F.try_element_at(ends, e["type"]), pair), F.lit(False)), F.concat(name, F.lit(" joins "), pair, F.lit(" by "), e["type"]))
+
+    found = F.concat(F.array_compact(F.transform("nodes", node)), F.array_compact(F.transform("edges", edge)))
+    return g.select("cmd_id", F.slice(found, 1, MOST_PROBLEMS).alias("problems"))

@@ -70,3 +70,50 @@ def policy_dot(patterns: list[str]) -> str:
                 edges.append(f'  n{nodes[parts[: i - 1]]} -> n{nodes[parts[:i]]} [label="{label}"];')
     ends = [f"  n{nodes[tuple(p.split())]} [shape=doublecircle];" for p in sorted(patterns)]
     return "\n".join(["digraph policy {", *ends, *edges, "}", ""])
+
+
+def save_learner(prefixes: DataFrame, path: str) -> None:
+    """The table of operators.learner.prefix_counts."""
+    prefixes.select("prefix", "depth", "n", "ends").write.mode("overwrite").parquet(path)
+
+
+def load_learner(spark: SparkSession, path: str) -> DataFrame:
+    """That table; ValueError unless every prefix has as many commands as end there and go on from it."""
+    rows = spark.read.parquet(path)
+    below = rows.filter("depth > 1").groupBy(F.slice("prefix", F.lit(1), F.col("depth") - 1).alias("prefix")).agg(F.sum("n").alias("below"))
+    both = rows.join(below, "prefix", "full")
+    wrong = F.col("n").isNull() | (F.col("n") <= 0) | (F.col("ends") < 0) | (F.col("depth") != F.size("prefix")) | (F.col("n") != F.col("ends") + F.coalesce("below", F.lit(0)))
+    if both.filter(wrong).limit(1).count() or rows.groupBy("prefix").count().filter("count > 1").limit(1).count():
+        raise ValueError("counts of prefixes don't add up")
+    return rows
+
+
+def _seal(counts: DataFrame) -> tuple[int, int]:
+    """Rows of a table and the sum of their hashes, whatever their order."""
+    row = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64(*sorted(counts.columns)), F.lit(1 << 31))), F.lit(0))).first()
+    return row[0], row[1]
+
+
+def save_bundle(raw: dict[int, DataFrame], typed: dict[int, DataFrame], path: str) -> None:
+    """Both models of a gate, and last a manifest of what they hold."""
+    spark, seals = raw[1].sparkSession, []
+    for name, of in (("raw", raw), ("typed", typed)):
+        save_ngrams(of, f"{path}/{name}")
+        seals += [(name, k, *_seal(spark.read.parquet(f"{path}/{name}/order={k}"))) for k in of]
+    spark.createDataFrame(seals, "model string, k int, n long, hash long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """(raw, typed); ValueError if a table is not what the manifest says."""
+    both = load_ngrams(spark, f"{path}/raw"), load_ngrams(spark, f"{path}/typed")
+    for r in spark.read.parquet(f"{path}/manifest").collect():
+        if _seal(both[r["model"] == "typed"][r["k"]]) != (r["n"], r["hash"]):
+            raise ValueError("a model is not what the bundle's manifest says")
+    return both
+
+
+def graph_text(graphs: DataFrame) -> DataFrame:
+    """cmd_id, text: a dependency graph as lines, nodes then edges."""
+    node = lambda n: F.concat_ws(" ", F.concat(F.lit("node "), n["node_id"]), F.coalesce(n["doc_kind"], n["kind"]), F.coalesce(F.array_join(n["tokens"], " "), n["path"], n["name"], n["value"]))
+    edge = lambda e: F.concat(F.lit("edge "), e["src"], F.lit(" -> "), e["dst"], F.lit(" "), e["type"])
+    return graphs.select("cmd_id", F.array_join(F.concat(F.transform("nodes", node), F.transform("edges", edge)), "\n").alias("text"))
