@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shell import FEATURE_BITS, REJECTED, feature_names, graph_edges, graph_nodes, graphs, subcommands
-from . import policy
+from ..functions.tokens import tokenized, type_sequence
+from . import anomaly, policy
 from .violations import found
 
 
@@ -39,3 +40,20 @@ def evaluate(commands: DataFrame, allow: DataFrame, deny: DataFrame, *, mask=REJ
     verdict = F.when(F.col("error") == "ETRUNC", "UNDETERMINED").when(F.col("error").isNotNull(), "REJECT").when(F.col("denied"), "DENY").when(F.coalesce("allowed", F.lit(True)), F.when(F.col("subst"), "ALLOW_CONDITIONAL").otherwise("ALLOW")).otherwise("UNDETERMINED")
     done = rows.select("cmd_id", verdict.alias("verdict"), F.when(F.col("error").isNotNull() & (F.col("error") != "ETRUNC"), "depgraph error").alias("reason"), F.coalesce("flags", F.lit(0)).alias("flags"), F.coalesce("evaluated", F.lit(0)).alias("evaluated"))
     return done.unionByName(no.select("cmd_id", F.lit("REJECT").alias("verdict"), "reason", F.lit(0).alias("flags"), F.lit(0).cast("long").alias("evaluated")))
+
+
+def sequences(commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw, typed), each seq, pos, w: the names of a command's sub-commands, and the words of its type sequence."""
+    nodes = graph_nodes(graphs(commands)).filter((F.col("kind") == "CMD") & (F.size("tokens") > 0))
+    raw = nodes.select(F.col("cmd_id").alias("seq"), F.col("node_id").alias("pos"), F.col("tokens")[0].alias("w"))
+    shown = type_sequence(tokenized(commands)).select(F.col("cmd_id").alias("seq"), F.posexplode(F.filter(F.split("sequence", " "), lambda x: x != "")).alias("pos", "w"))
+    return raw, shown.join(raw.select("seq").distinct(), "seq", "left_semi")
+
+
+def anomaly_scores(commands: DataFrame, raw: dict[int, DataFrame], typed: dict[int, DataFrame], *, w_raw: float = 0.5, w_type: float = 0.5, threshold: float = 10.0) -> DataFrame:
+    """cmd_id, raw, typed, score, anomalous: mean bits of both sequences under given models and their weighted sum;
+    null stands for infinity, which is anomalous. A command without sub-commands has no row."""
+    one, two = sequences(commands)
+    rows = anomaly.scores(one, raw).withColumnRenamed("score", "raw").join(anomaly.scores(two, typed).withColumnRenamed("score", "typed"), "seq", "left")
+    score = anomaly.combine(F.col("raw"), F.col("typed"), w_raw, w_type)
+    return rows.select(F.col("seq").alias("cmd_id"), "raw", "typed", score.alias("score"), F.coalesce(score > threshold, F.lit(True)).alias("anomalous"))

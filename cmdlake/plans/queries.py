@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, entropy, lattice, normalize, shell
-from ..operators import anomaly, gate, learner, policy, violations
+from ..functions import classify, entropy, lattice, normalize, shell, tokens
+from ..operators import anomaly, gate, learner, policy, suggest, violations
 
 COMMANDS = """SELECT o_orderkey AS cmd_id, CASE o_orderkey % 7
  WHEN 0 THEN concat('git commit -m msg', CAST(o_custkey % 50 AS STRING))
@@ -140,6 +140,38 @@ def _abs_paths(spark, sf) -> DataFrame:
     return _typed(spark, sf).filter("type = 'ABS_PATH'")
 
 
+def _tokenized(spark, sf) -> DataFrame:
+    return tokens.tokenized(_lines(spark, sf))
+
+
+#: Command lines whose shell tokens SQL can say: a pipeline, a variable, a pattern and a redirect in the order of the customer's key.
+LINES = """SELECT c_custkey AS cmd_id, CASE c_custkey % 5
+ WHEN 0 THEN concat('cat /data/', CAST(c_custkey AS STRING), ' | sort -n')
+ WHEN 1 THEN concat('echo $NAME n', CAST(c_custkey AS STRING), ' > out')
+ WHEN 2 THEN 'ls *.txt && wc -l ~/notes'
+ WHEN 3 THEN concat('grep "', c_mktsegment, '" src/a.c ; pwd')
+ ELSE 'echo $(date) $((1+2)) $1' END AS command FROM customer"""
+
+
+def _lines(spark, sf) -> DataFrame:
+    _tables(spark, sf, "customer")
+    return spark.sql(LINES)
+
+
+def _anomalies(spark, sf) -> DataFrame:
+    commands = _lines(spark, sf)
+    raw, typed = gate.sequences(commands)
+    return gate.anomaly_scores(commands, anomaly.model(raw), anomaly.model(typed))
+
+
+_PER_LINE = lambda name, *of: f"WITH c AS ({LINES}) SELECT cmd_id, CASE cmd_id % 5 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(of)) + f" END AS {name} FROM c"
+_STAGE_SQL = f"""WITH c AS ({LINES}), v(k, stage, clean, pipe_in, pipe_out, transformed, changed) AS (VALUES
+ (0, 0, NULL, false, true, NULL, false), (0, 1, 'sort -n', true, false, 'sort -n', false), (1, 0, NULL, false, false, NULL, true), (2, 0, 'ls *.txt', false, false, 'ls FILE_PATTERN', true),
+ (2, 1, 'wc -l ~/notes', false, false, 'wc -l ~/notes', false), (3, 0, NULL, false, false, NULL, false), (3, 1, 'pwd', false, false, 'pwd', false), (4, 0, 'echo $(date) $((1+2)) $1', false, false, 'echo TEMP_FILE VAR_VALUE VAR_VALUE', true)),
+s AS (SELECT cmd_id, stage, pipe_in, pipe_out, changed,
+  coalesce(clean, CASE k WHEN 0 THEN 'cat /data/' || cmd_id WHEN 1 THEN 'echo $NAME n' || cmd_id ELSE split_part(command, ' ; ', 1) END) AS clean,
+  coalesce(transformed, CASE k WHEN 0 THEN 'cat /data/' || cmd_id WHEN 1 THEN 'echo VAR_VALUE n' || cmd_id || ' > out' ELSE split_part(command, ' ; ', 1) END) AS transformed FROM c JOIN v ON k = cmd_id % 5)"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 #: name: (query, SQL or None)
 QUERIES: dict[str, tuple[Query, str | None]] = {
@@ -230,6 +262,22 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "sub_commands": (lambda s, d: shell.subcommands(_fixed(s)), None),
     "dependency_graph": (lambda s, d: shell.graph_edges(shell.graphs(_fixed(s))), None),
     "reject_mask": (lambda s, d: gate.rejected(_fixed(s)), "SELECT 15::BIGINT AS cmd_id, 'loops not allowed' AS reason"),
+    "type_sequences": (lambda s, d: tokens.type_sequence(_tokenized(s, d)), _PER_LINE("sequence", "'cat AP | sort OPT'", "'echo EV STR'", "'ls GB | wc OPT HP'", "'grep STR RP | pwd'", "'echo CS AR PV'")),
+    "abstractions": (
+        lambda s, d: tokens.abstracted(_tokenized(s, d)).select("cmd_id", "abstracted"),
+        _PER_LINE("abstracted", "'cat $AP_1 | sort -n'", "'echo $EV_1 n' || cmd_id || ' > $RD_1'", "'ls $GB_1 && wc -l $HP_1'", "'grep $STR_1 $RP_1 ; pwd'", "'echo $CS_1 $AR_1 $PV_1'"),
+    ),
+    "stage_texts": (lambda s, d: tokens.processed(_tokenized(s, d)).select("cmd_id", "stage", "clean", "pipe_in", "pipe_out"), f"{_STAGE_SQL} SELECT cmd_id, stage, clean, pipe_in, pipe_out FROM s"),
+    "transforms": (lambda s, d: tokens.transformed(_tokenized(s, d)), f"{_STAGE_SQL} SELECT cmd_id, stage, transformed, changed FROM s"),
+    "shell_token_histogram": (
+        lambda s, d: tokens.tokens(_tokenized(s, d)).groupBy("type").agg(F.count(F.lit(1)).alias("n")),
+        f"""WITH c AS ({LINES}), v(k, type, m) AS (VALUES (0, 'COMMAND', 2), (0, 'ARGUMENT', 2), (0, 'PIPE', 1), (1, 'COMMAND', 1), (1, 'VARIABLE', 1), (1, 'ARGUMENT', 2), (1, 'REDIRECT_OUT', 1), (2, 'COMMAND', 2), (2, 'GLOB', 1), (2, 'AND', 1), (2, 'ARGUMENT', 2),
+ (3, 'COMMAND', 2), (3, 'ARGUMENT', 2), (3, 'SEMICOLON', 1), (4, 'COMMAND', 1), (4, 'SUBSHELL', 1), (4, 'ARITHMETIC', 1), (4, 'SPECIAL_VAR', 1)) SELECT type, sum(m)::BIGINT AS n FROM c JOIN v ON k = cmd_id % 5 GROUP BY type""",
+    ),
+    "unmatched_offers": (lambda s, d: suggest.unmatched(_commands(s, d), _policy(s, ALLOW)), None),
+    "token_variants": (lambda s, d: suggest.token_variants(s.createDataFrame([(p,) for p in ALLOW], "pattern string"), 1), None),
+    "graph_problems": (lambda s, d: shell.graph_problems(shell.graphs(_lines(s, d))).select("cmd_id", F.size("problems").alias("n")), f"SELECT cmd_id, 0 AS n FROM ({LINES})"),
+    "gate_anomaly": (lambda s, d: _rounded(_anomalies(s, d), "raw", "typed", "score"), None),
     "violation_rules": (lambda s, d: violations.violations(shell.graphs(_fixed(s))).select("cmd_id", "rule", "severity"), None),
     "gate_verdicts": (lambda s, d: gate.evaluate(_commands(s, d), _policy(s, ALLOW), _policy(s, DENY)).select("cmd_id", "verdict"),
         f"WITH c AS ({COMMANDS}), a AS ({_union_matches(ALLOW)}), n AS ({_union_matches(DENY)}) SELECT cmd_id, CASE WHEN cmd_id IN (SELECT cmd_id FROM n) THEN 'DENY' WHEN cmd_id IN (SELECT cmd_id FROM a) THEN 'ALLOW' ELSE 'UNDETERMINED' END AS verdict FROM c"),

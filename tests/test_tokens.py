@@ -11,6 +11,7 @@ SCANS = {
     'diff <(left "(x)") >(right)': [("COMMAND", "diff"), ("PROCESS_SUB", '<(left "(x)")'), ("PROCESS_SUB", ">(right)")],
     "echo $1 $10 ${10}": [("COMMAND", "echo"), ("SPECIAL_VAR", "$1"), ("SPECIAL_VAR", "$1"), ("ARGUMENT", "0"), ("VARIABLE", "${10}")],
     "cmd >>&9 >&10 <&0 3>&- 4<&- 12>>log": [("COMMAND", "cmd"), ("REDIRECT_APPEND", ">>&9"), ("REDIRECT_OUT", ">&10"), ("REDIRECT_IN", "<&0"), ("REDIRECT_ERR", "3>&-"), ("REDIRECT_IN", "4<&-"), ("REDIRECT_APPEND", "12>>"), ("ARGUMENT", "log")],
+    "echo 2 > out": [("COMMAND", "echo"), ("REDIRECT_ERR", "2 >"), ("ARGUMENT", "out")],
     "ls file[!12].txt": [("COMMAND", "ls"), ("ARGUMENT", "file"), ("GLOB", "[!12]"), ("ARGUMENT", ".txt")],
     "echo $(echo $(echo hi))": [("COMMAND", "echo"), ("SUBSHELL", "$(echo $(echo hi))")],
 }
