@@ -12,7 +12,7 @@ from cmdlake.streaming.online import OnlineModel
 
 TOKENS = {
     "/etc/passwd": "ABS_PATH", "/": "LITERAL", "https://a.b/c": "URL", "192.168.1.1": "IPV4", "256.1.1.1": "FILENAME", "2001:db8::1": "IPV6", "::1": "IPV6", "aa:bb:cc:dd:ee:ff": "MAC",
-    "0x1F": "NUMBER", "550e8400-e29b-41d4-a716-446655440000": "UUID", "a@b.com": "EMAIL", "example.com": "HOSTNAME", "10MiB": "SIZE", "1.2.3-alpha": "SEMVER", "755": "PERM_OCTAL", "SIGTERM": "SIGNAL",
+    "0x1F": "NUMBER", "550e8400-e29b-41d4-a716-446655440000": "UUID", "a@b.com": "PKG", "alice+build@example.com": "EMAIL", "react@18": "PKG", "foo@bar": "LITERAL", "example.com": "HOSTNAME", "10MiB": "SIZE", "1.2.3-alpha": "SEMVER", "755": "PERM_OCTAL", "SIGTERM": "SIGNAL",
     "-12": "NUMBER", "2024-02-29": "TIMESTAMP", "2023-02-29": "CRON", "1.5h": "DURATION", "sha256": "HASH_ALGO", "$HOME": "ENV_VAR", "root": "USER", "1-5": "RANGE", "*": "CRON", "a-b": "HYPHENATED", "main": "BRANCH",
     "GET": "METHOD", "-la": "SHORTOPT", "--help": "LONGOPT", "deadbee": "SHA", "DEADBEEF": "HEXHASH", "root:docker": "USER_GROUP", "nginx:latest": "IMAGE", "a*b": "GLOB", "../x": "REL_PATH", "a.txt": "FILENAME",
     "a b": "QUOTED_SPACE", "": "LITERAL", "ls": "LITERAL",
