@@ -10,8 +10,8 @@ token for all other words, whose spelling then has the probability
 (c + 1) / (their counts + their number + 1), an unseen word that of c = 0. The output
 softmax is factored: a class given the state, a word given state and class. It starts
 from the counts (unigrams) and learns by truncated backpropagation in numpy: each task
-trains on a stretch of each of its training documents, WINDOW tokens at a time with the
-state carried on, and the tasks' parameters are averaged as a tree, weighted by tokens;
+trains on all of each of its training documents, WINDOW tokens at a time with the state
+carried on, and the tasks' parameters are averaged as a tree, weighted by tokens;
 ROUNDS times.
 
 Scoring: documents of similar length go through the network together, window by window,
@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,8 @@ FOLDS, HELD_OUT = 7, 2
 END = b"\n"
 #: Words with counts on every worker (a bound on what is broadcast); the LM's vocabulary and classes; sizes of the network.
 HEAD, VOCABULARY, CLASSES, STATE, EMBED = 1 << 18, 1024, 32, 16, 16
-#: Tokens of a window, windows of a document that a round trains on, documents at once, rounds, learning rate.
-WINDOW, STRETCH, BATCH, ROUNDS, RATE = 16, 3, 96, 2, 1.2e-2
+#: Tokens of a window, documents at once, rounds, learning rate.
+WINDOW, BATCH, ROUNDS, RATE = 16, 96, 2, 1.2e-2
 #: Documents scored together.
 TOGETHER = 1024
 #: Tokens of a window in scoring.
@@ -154,25 +155,33 @@ class Gru:
                 out[some[:n]] += np.bincount(np.nonzero(valid)[0], logs, n)
         return out
 
-    def train(self, batches: Iterator[np.ndarray], rate: float = RATE) -> int:
-        """Adam over batches: rows of tokens, one longer than the windows together; -1 past an end."""
+    def train(self, texts: Iterator[np.ndarray], rate: float = RATE) -> int:
+        """Adam over all windows of all texts, each from STOP to STOP: BATCH texts side by side, each with its own
+        state carried from window to window; one that ends gives way to the next. Gives the number of tokens learned."""
         m, s = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         steps = seen = 0
-        for rows in batches:
-            h = np.zeros((len(rows), STATE), np.float32)
-            for at in range(0, rows.shape[1] - 1, WINDOW):
-                x, y = rows[:, at : at + WINDOW], rows[:, at + 1 : at + 1 + WINDOW]
-                x = x[:, : y.shape[1]]
-                valid = y >= 0
-                if not valid.any():
-                    break
-                g, h = self._gradients(np.maximum(x, 0), y, valid, h)
-                seen, steps = seen + int(valid.sum()), steps + 1
-                for k, d in g.items():
-                    m[k] += 0.1 * (d - m[k])
-                    s[k] += 0.002 * (d * d - s[k])
-                    self.p[k] -= rate / (1 + steps / 400) * (m[k] / (1 - 0.9**steps)) / (np.sqrt(s[k] / (1 - 0.998**steps)) + 1e-6)
-        return seen
+        held: list[np.ndarray] = []
+        h, texts = np.zeros((0, STATE), np.float32), iter(texts)
+        while True:
+            more = [i for i, x in enumerate(held) if len(x) > 1]
+            new = list(islice(texts, BATCH - len(more)))
+            held, h = [held[i] for i in more] + new, np.concatenate([h[more], np.zeros((len(new), STATE), np.float32)])
+            if not held:
+                return seen
+            rows = np.full((len(held), min(WINDOW + 1, max(map(len, held)))), -1)
+            for i, x in enumerate(held):
+                rows[i, : min(len(x), rows.shape[1])] = x[: rows.shape[1]]
+            held = [x[WINDOW:] for x in held]
+            x, y = rows[:, :-1], rows[:, 1:]
+            valid = y >= 0
+            g, h = self._gradients(np.maximum(x, 0), y, valid, h)
+            seen, steps = seen + int(valid.sum()), steps + 1
+            # Where few texts are left, the last long ones, steps are smaller by the root of their share.
+            now = rate / (1 + steps / 400) * math.sqrt(len(held) / BATCH)
+            for k, d in g.items():
+                m[k] += 0.1 * (d - m[k])
+                s[k] += 0.002 * (d * d - s[k])
+                self.p[k] -= now * (m[k] / (1 - 0.9**steps)) / (np.sqrt(s[k] / (1 - 0.998**steps)) + 1e-6)
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h: np.ndarray):
         p, gates, kept = self.p, self.inputs(), []
@@ -270,26 +279,13 @@ def _lm_ids(numbers: np.ndarray) -> np.ndarray:
 def _trainer(shared, flat: np.ndarray, turn: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, _ = _head(shared)
-        model, want = Gru.of_flat(flat), WINDOW * STRETCH + 1
+        model = Gru.of_flat(flat)
 
         def rows() -> Iterator[np.ndarray]:
-            held: list[np.ndarray] = []
             for b in batches:
                 for text in b["text"]:
-                    text = text if isinstance(text, str) else ""
-                    # A stretch at another place each round; the first one begins with the text.
-                    at = 0 if turn == 0 else (len(text) * (turn * 2 - 1) // (ROUNDS * 2)) // 2
-                    words = _tokens(text[at : at + 16 * want])
-                    words = words[1:-1] if at else words[:-1] if len(text) > 16 * want else words
-                    ids = _lm_ids(np.array([index.get(w, -1) for w in words[: want - 1]], np.int64))
-                    ends = at + 16 * want >= len(text) and len(words) < want - 1
-                    ids = np.concatenate([[STOP], ids, [STOP] if ends else []]).astype(np.int64)[:want]
-                    held.append(np.concatenate([ids, np.full(want - len(ids), -1)]))
-                    if len(held) == BATCH:
-                        yield np.stack(held)
-                        held = []
-            if held:
-                yield np.stack(held)
+                    ids = _lm_ids(np.array([index.get(w, -1) for w in _tokens(text)], np.int64))
+                    yield np.concatenate([[STOP], ids, [STOP]]).astype(np.int64)
 
         seen = model.train(rows(), RATE / (1 + turn))
         if seen:

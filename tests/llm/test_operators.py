@@ -75,6 +75,25 @@ def test_model_is_a_distribution_and_state_is_carried():
     assert abs(model.score([np.append(ids, lm.STOP), np.array([lm.STOP])])[0] - total) < 1e-2
 
 
+def test_every_token_is_trained_on():
+    import pandas as pd
+
+    class Shared:
+        value = (b"\n".join(w.encode() for w in VOCABULARY), np.arange(len(VOCABULARY))[::-1])
+
+    texts = [PROSE[0], LONG, "", None, *[PROSE[1] + " " + PROSE[2]] * 100, "a"]
+    flat = lm.Gru.start(np.ones(lm.VOCABULARY)).flat()
+    for turn in range(lm.ROUNDS):
+        (got,) = lm._trainer(Shared, flat, turn)(iter([pd.DataFrame({"text": texts[:3]}), pd.DataFrame({"text": texts[3:]})]))
+        assert got.weight[0] == sum(len((t or "").split()) + 1 for t in texts)
+    # What only the ends of texts hold is learned too.
+    tail = pd.DataFrame({"text": [" ".join([VOCABULARY[0]] * 300 + [VOCABULARY[1], VOCABULARY[2]] * 50)] * 96})
+    (got,) = lm._trainer(Shared, flat, 0)(iter([tail]))
+    ids = np.array([3, 4] * 50 + [lm.STOP])
+    model = lm.Gru.of_flat(np.frombuffer(got.params[0]) / got.weight[0])
+    assert model.score([ids])[0] > lm.Gru.of_flat(flat).score([ids])[0] + 20
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
