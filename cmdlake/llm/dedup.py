@@ -6,14 +6,15 @@ start, known by its digest.
 
 Candidates: shingles of five words are labelled by occurrence; each of BANDS hash
 functions picks its LEAST smallest ones, and their hashes in text order are the band's
-value. Texts with an equal value share a bucket. In a bucket all members are compared
-with one leader, the member that shares most buckets: of edited copies the one that the
-others come from. Members whose comparison fails stay open: in the next round buckets
-need an equal run of twice as many bands, and leaders are drawn from the open ones and
-meet every member again. So no bucket is capped, none emits all its pairs, and the
-rounds end when no bucket holds an open text and another one. (Order MinHash is a
-sketch: a pair below about 0.9 similarity can, rarely, share no band; a test measures
-recall against brute force.)
+value. Texts with an equal value share a bucket. In a bucket all members are first compared
+with a leader, the member that shares most buckets: of edited copies the one that the
+others come from; then, in a bucket that still holds several components, with a second
+leader, drawn by hash from outside its largest component. What is left is every pair of
+a bucket that lies in two components and was not compared: each such pair is compared,
+unless the numbers of words or the bags of words' hashes, counted into BAG cells, prove it
+too far apart (both bound the edit distance from below, so no link is lost). So the classes
+are those of all pairs that share a bucket. Buckets above SMALL members are paired in tiles
+of about TILE x TILE, each a group of its own.
 
 Verification: common ends are dropped, a bag distance bounds the edit distance from
 below, and what is left goes through a bit-parallel alignment of the band of
@@ -45,6 +46,8 @@ from ._shared import written
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands, and shingles picked by each.
 BANDS, LEAST = 24, 2
+#: Cells of a bag; members of a bucket up to which a plain join pairs them; members of a tile's side.
+BAG, SMALL, TILE = 64, 64, 256
 
 _RNG = np.random.default_rng(20_011)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,11 +92,12 @@ def word_hashes(text: str) -> np.ndarray:
     return _mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-def sketch(text: str) -> tuple[int, np.ndarray]:
-    """Number of words; the bands' values (none if there are no words)."""
+def sketch(text: str) -> tuple[int, np.ndarray, bytes]:
+    """Number of words; the bands' values (none if there are no words); the bag: how many words' hashes fall in each cell."""
     w = word_hashes(text)
     if not len(w):
-        return 0, np.zeros(0, np.int64)
+        return 0, np.zeros(0, np.int64), bytes(2 * BAG)
+    bag = np.minimum(np.bincount((w & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 65535).astype("<u2").tobytes()
     k = min(SHINGLE, len(w))
     g = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
@@ -119,13 +123,13 @@ def sketch(text: str) -> tuple[int, np.ndarray]:
     value = np.zeros(BANDS, np.uint64)
     for i in range(least):
         value = _mix(value * _ODD[9] + g[picked[:, i]])
-    return len(w), _mix(value + np.arange(BANDS, dtype=np.uint64) * _ODD[10]).view(np.int64)
+    return len(w), _mix(value + np.arange(BANDS, dtype=np.uint64) * _ODD[10]).view(np.int64), bag
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        got = [sketch(t) if isinstance(t, str) else (0, np.zeros(0, np.int64)) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "n": [n for n, _ in got], "bands": [x for _, x in got]})
+        got = [sketch(t) if isinstance(t, str) else (0, np.zeros(0, np.int64), bytes(2 * BAG)) for t in b["text"]]
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "n": [n for n, _, _ in got], "bands": [x for _, x, _ in got], "bag": [x for _, _, x in got]})
 
 
 def keys(docs: DataFrame) -> DataFrame:
@@ -200,6 +204,44 @@ def _verified(similarity: float):
     return verify
 
 
+def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether bags allow an edit distance of (1 - similarity) of n, the words of the longer: a bound from below."""
+    d = a - b
+    more = np.maximum(d, 0).sum(-1)
+    return np.maximum(more, more - d.sum(-1)) <= np.floor(n - similarity * n + 1e-9)
+
+
+def _bags(column) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, column)), "<u2").reshape(-1, BAG).astype(np.int32)
+
+
+def _tiled(similarity: float):
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        """A tile: pairs of members of block lo and block hi, in two components, that may be near."""
+        lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
+        g = g.sort_values("text_key", ignore_index=True)
+        bag, n, root, key = _bags(g["bag"]), g["n_words"].to_numpy(), pd.factorize(g["root"].map(bytes))[0], g["text_key"].to_numpy(object)
+        left, right = np.flatnonzero(g["block"] == lo), np.flatnonzero(g["block"] == hi)
+        out: list = []
+        for i in left:
+            at = right[right > i] if lo == hi else right
+            at = at[root[at] != root[i]]
+            at = at[_near(bag[at], bag[i], np.maximum(n[at], n[i]), similarity)] if len(at) else at
+            out += [(key[min(i, j)], key[max(i, j)]) for j in at]
+        return pd.DataFrame(out, columns=["text_key", "leader"])
+
+    return pairs
+
+
+def _filtered(similarity: float):
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ok = _near(_bags(b["bag"]), _bags(b["other"]), b["most"].to_numpy(), similarity)
+            yield b.loc[ok, ["text_key", "leader"]]
+
+    return keep
+
+
 def _components(edges: DataFrame) -> DataFrame:
     """text_key, root (the smallest key of its component) for the ends of edges (a, b)."""
 
@@ -224,52 +266,72 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """Per row of docs (doc_id, text): doc_id, text_key, class_id, copies (rows of the same text), links (different
     texts it was found similar to)."""
     docs = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = written(docs.mapInPandas(_sketches, "doc_id long, text_key binary, n int, bands array<long>"), "sketches")
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    rows = written(docs.mapInPandas(_sketches, "doc_id long, text_key binary, n int, bands array<long>, bag binary"), "sketches")
+    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n").alias("n_words"), F.first("bag").alias("bag"))
     texts = written(texts, "texts")
 
-    def buckets(of: DataFrame, run: int) -> DataFrame:
-        """text_key, h: buckets of equal runs of so many bands."""
-        value = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.lit(run), i, F.slice(F.concat("bands", "bands"), i + 1, run))) if run > 1 else F.col("bands")
-        return of.filter(F.size("bands") > 0).select("text_key", F.explode(value).alias("h"))
-
-    def shared(b: DataFrame) -> DataFrame:
-        return b.join(b.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "h")
-
-    members = written(shared(buckets(texts, 1)), "members")
+    members = texts.filter(F.size("bands") > 0).select("text_key", F.explode("bands").alias("h")).distinct()
+    members = written(members.join(members.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "h"), "members")
     # The texts of all members, one row for each different text.
-    needed = texts.join(members.select("text_key").distinct(), "text_key").select("text_key", "doc_id", "bands")
+    needed = texts.join(members.select("text_key").distinct(), "text_key").select("text_key", "doc_id", "n_words", "bag")
     whole = docs.join(needed.select("text_key", F.col("doc_id").alias("_doc")), (docs["text_key"] == needed["text_key"]) & docs["doc_id"].eqNullSafe(F.col("_doc"))).select(docs["text_key"], "text")
     whole = written(whole.dropDuplicates(["text_key"]), "member-texts")
-    needed = written(needed.select("text_key", "bands"), "member-bands")
+    needed = written(needed.select("text_key", "n_words", "bag"), "member-bags")
     degree = written(members.groupBy("text_key").agg(F.sum("n").alias("degree")), "degrees")
 
-    links, tried, open_, run = None, None, needed.select("text_key"), 1
-    while True:
-        if run > 1:
-            members = shared(buckets(needed, run))
-        ranked = members.join(degree, "text_key").join(open_.withColumn("open", F.lit(True)), "text_key", "left")
-        ranked = written(ranked.select("h", "text_key", "degree", F.coalesce("open", F.lit(False)).alias("open")), "ranked")
-        leaders = ranked.filter("open").groupBy("h").agg(F.max(F.struct("degree", "text_key")).alias("x")).select("h", F.col("x.text_key").alias("leader"))
-        pairs = ranked.select("h", "text_key").join(leaders, "h").filter(F.col("text_key") != F.col("leader")).select("text_key", "leader").distinct()
-        if tried is not None:
-            mirrored = tried.select("text_key", "leader").union(tried.select(F.col("leader").alias("text_key"), F.col("text_key").alias("leader")))
-            pairs = pairs.join(mirrored, ["text_key", "leader"], "left_anti")
+    done = links = roots = None
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """text_key, leader, ok of the pairs that no round before has compared."""
+        pairs = pairs.filter(F.col("text_key") != F.col("leader")).select(F.least("text_key", "leader").alias("text_key"), F.greatest("text_key", "leader").alias("leader")).distinct()
+        if done is not None:
+            pairs = pairs.join(done.select("text_key", "leader"), ["text_key", "leader"], "left_anti")
         joined = pairs.join(whole, "text_key").join(whole.select(F.col("text_key").alias("leader"), F.col("text").alias("leader_text")), "leader")
-        done = written(joined.select("text_key", "text", "leader", "leader_text").mapInPandas(_verified(similarity), "text_key binary, leader binary, ok boolean"), "verified")
-        if not done.limit(1).count():
-            break
-        links = done.filter("ok") if links is None else links.union(done.filter("ok"))
-        tried = done if tried is None else tried.union(done)
-        # Open is a text that failed in this round against some leader; leaders of such rounds have met all members.
-        open_ = written(done.filter(~F.col("ok")).select("text_key").distinct(), "open")
-        if run >= BANDS or not open_.limit(1).count():
-            break
-        run = min(2 * run, BANDS)
+        return written(joined.select("text_key", "text", "leader", "leader_text").mapInPandas(_verified(similarity), "text_key binary, leader binary, ok boolean"), "verified")
+
+    def unresolved() -> DataFrame:
+        """text_key, h, root, largest: members of buckets that hold several components, and the bucket's largest one."""
+        rooted = written(members.select("text_key", "h").join(roots, "text_key", "left").select("text_key", "h", F.coalesce("root", "text_key").alias("root")), "rooted")
+        parts = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
+        several = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("n")).filter("parts > 1")
+        return written(rooted.join(several.select("h", F.col("x.root").alias("largest"), "n"), "h"), "unresolved")
+
+    for turn in range(3):
+        if turn == 0:
+            leaders = members.join(degree, "text_key").groupBy("h").agg(F.max(F.struct("degree", "text_key")).alias("x")).select("h", F.col("x.text_key").alias("leader"))
+            pairs = members.select("h", "text_key").join(leaders, "h")
+        else:
+            left = unresolved()
+            if not left.limit(1).count():
+                break
+        if turn == 1:
+            leaders = left.filter(F.col("root") != F.col("largest")).groupBy("h").agg(F.max(F.struct(F.xxhash64("h", "text_key"), "text_key", "root")).alias("x")).select("h", F.col("x.text_key").alias("leader"), F.col("x.root").alias("_root"))
+            pairs = left.join(leaders, "h").filter(F.col("root") != F.col("_root"))
+        if turn == 2:
+            left = written(left.join(needed, "text_key").select("h", "n", "text_key", "root", "n_words", "bag"), "left")
+            small = left.filter(F.col("n") <= SMALL).select("h", "text_key", "root", "n_words")
+            other = small.select("h", F.col("text_key").alias("leader"), F.col("root").alias("_root"), F.col("n_words").alias("_n"))
+            most = F.greatest("n_words", "_n")
+            far = F.abs(F.col("n_words") - F.col("_n")) > F.floor(most - similarity * most + 1e-9)
+            pairs = small.join(other, "h").filter((F.col("text_key") < F.col("leader")) & (F.col("root") != F.col("_root")) & ~far).select("text_key", "leader", most.alias("most")).distinct()
+            pairs = pairs.join(needed.select("text_key", "bag"), "text_key").join(needed.select(F.col("text_key").alias("leader"), F.col("bag").alias("other")), "leader")
+            pairs = pairs.mapInPandas(_filtered(similarity), "text_key binary, leader binary")
+            # Large buckets: each member goes to the tiles of its block with every block.
+            blocks = F.ceil(F.col("n") / TILE)
+            large = left.filter(F.col("n") > SMALL).withColumn("block", F.pmod(F.xxhash64("text_key"), blocks))
+            large = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
+            large = large.select("h", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "text_key", "root", "n_words", "bag")
+            pairs = pairs.union(large.groupBy("h", "lo", "hi").applyInPandas(_tiled(similarity), "text_key binary, leader binary"))
+        got = compared(pairs)
+        done = got if done is None else done.union(got)
+        if got.filter("ok").limit(1).count():
+            links = done.filter("ok")
+            roots = _components(links.select(F.col("text_key").alias("a"), F.col("leader").alias("b")))
+        elif roots is None:
+            roots = texts.select("text_key", F.col("text_key").alias("root")).limit(0)
 
     if links is not None:
         edges = links.select(F.col("text_key").alias("a"), F.col("leader").alias("b"))
-        roots = _components(edges)
         least = texts.select("text_key", "doc_id")
         of_root = roots.join(least, "text_key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
         number = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("text_key")).agg(F.count(F.lit(1)).alias("links"))

@@ -136,6 +136,35 @@ def test_near_duplicates_against_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def classes(spark, texts):
+    got = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {x.doc_id: x.class_id for x in got}
+
+
+def test_copies_behind_unlike_leaders(spark, monkeypatch):
+    """One bucket for all: unlike texts lead it, and near copies among the others are found all the same."""
+    r, same = random.Random(11), dedup.sketch
+    monkeypatch.setattr(dedup, "_sketches", one_bucket(same))
+    texts = []
+    for _ in range(12):
+        words = [r.choice(VOCABULARY) for _ in range(40)]
+        texts += [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
+    for many in (texts, texts + [" ".join(r.choice(VOCABULARY) for _ in range(40)) for _ in range(60)]):  # pairs by a join, and by tiles
+        got = classes(spark, many)
+        assert [got[i] for i in range(len(many))] == [i - i % 2 if i < 24 else i for i in range(len(many))]
+
+
+def one_bucket(sketch):
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            got = [sketch(t) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "n": [x[0] for x in got], "bands": [[1]] * len(b), **({"bag": [x[2] for x in got]} if len(got[0]) > 2 else {})})
+
+    return run
+
+
 def test_topk_against_brute_force(spark):
     r = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in r.normal(size=8)]) for i in range(0, 1200, 4)] + [(100, [0.5] * 8), (None, [9.0] * 8), (7, None), (8, [1.0, float("nan")] * 4), (9, [1.0, None] * 4), (11, [1.0] * 3), (200, [1e5] * 8)]
