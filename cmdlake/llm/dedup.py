@@ -6,7 +6,12 @@ start, known by its digest.
 
 Candidates: shingles of five words are labelled by occurrence; each of BANDS hash
 functions picks its LEAST smallest ones, and their hashes in text order are the band's
-value. Texts with an equal value share a bucket. In a bucket all members are first compared
+value; each of SINGLES more hash functions gives its smallest shingle as a value, which
+reaches pairs near SIMILARITY. Texts of up to SHORT words, where a few edits touch every
+shingle of five, have as many values of shingles of two besides (of two texts that can be
+linked, one of 30 words or fewer has no partner above SHORT). A sketch can still miss a
+pair: one edit in every five words, evenly spaced, leaves no common shingle of five (the
+README has the recall measured). Texts with an equal value share a bucket. In a bucket all members are first compared
 with a leader, the member that shares most buckets: of edited copies the one that the
 others come from; then, in a bucket that still holds several components, with a second
 leader, drawn by hash from outside its largest component. What is left is every pair of
@@ -46,12 +51,14 @@ from ._shared import written
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands, and shingles picked by each.
 BANDS, LEAST = 24, 2
+#: Bands of one shingle; words up to which a text has such bands of shingles of two words as well.
+SINGLES, SHORT = 40, 38
 #: Cells of a bag; members of a bucket up to which a plain join pairs them; members of a tile's side.
 BAG, SMALL, TILE = 64, 64, 256
 
 _RNG = np.random.default_rng(20_011)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ODD = _RNG.integers(0, 1 << 63, 64 + BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _RNG.integers(0, 1 << 63, 64 + BANDS + 2 * SINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -92,13 +99,9 @@ def word_hashes(text: str) -> np.ndarray:
     return _mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-def sketch(text: str) -> tuple[int, np.ndarray, bytes]:
-    """Number of words; the bands' values (none if there are no words); the bag: how many words' hashes fall in each cell."""
-    w = word_hashes(text)
-    if not len(w):
-        return 0, np.zeros(0, np.int64), bytes(2 * BAG)
-    bag = np.minimum(np.bincount((w & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 65535).astype("<u2").tobytes()
-    k = min(SHINGLE, len(w))
+def _shingles(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of k words, in text order; the same labelled by occurrence."""
+    k = min(k, len(w))
     g = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
         g += w[i : len(w) - k + 1 + i] * _ODD[i]
@@ -111,6 +114,27 @@ def sketch(text: str) -> tuple[int, np.ndarray, bytes]:
         nth = np.empty(len(g), np.uint64)
         nth[order] = (place - np.maximum.accumulate(np.where(same, 0, place))).astype(np.uint64)
         labelled = _mix(g + nth * _ODD[8])
+    return g, labelled
+
+
+def _smallest(labelled: np.ndarray, first: int) -> np.ndarray:
+    """The smallest shingle by each of SINGLES hash functions, as values of bands of their own."""
+    out, step = np.empty(SINGLES, np.uint64), SINGLES if len(labelled) < 40_000 else 1
+    for lo in range(0, SINGLES, step):
+        v = labelled[None, :] * _ODD[first + lo : first + lo + step, None]
+        v ^= v >> np.uint64(29)
+        v *= np.uint64(0xBF58476D1CE4E5B9)
+        out[lo : lo + step] = v.min(1)
+    return _mix(out + np.arange(first, first + SINGLES, dtype=np.uint64) * _ODD[11])
+
+
+def sketch(text: str) -> tuple[int, np.ndarray, bytes]:
+    """Number of words; the bands' values (none if there are no words); the bag: how many words' hashes fall in each cell."""
+    w = word_hashes(text)
+    if not len(w):
+        return 0, np.zeros(0, np.int64), bytes(2 * BAG)
+    bag = np.minimum(np.bincount((w & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 65535).astype("<u2").tobytes()
+    g, labelled = _shingles(w, SHINGLE)
     least = min(LEAST, len(g))
     picked = np.empty((BANDS, least), np.int64)
     step = BANDS if len(g) < 40_000 else 1
@@ -123,7 +147,10 @@ def sketch(text: str) -> tuple[int, np.ndarray, bytes]:
     value = np.zeros(BANDS, np.uint64)
     for i in range(least):
         value = _mix(value * _ODD[9] + g[picked[:, i]])
-    return len(w), _mix(value + np.arange(BANDS, dtype=np.uint64) * _ODD[10]).view(np.int64), bag
+    bands = [_mix(value + np.arange(BANDS, dtype=np.uint64) * _ODD[10]), _smallest(labelled, 64 + BANDS)]
+    if len(w) <= SHORT:
+        bands.append(_smallest(_shingles(w, 2)[1], 64 + BANDS + SINGLES))
+    return len(w), np.concatenate(bands).view(np.int64), bag
 
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -165,6 +165,21 @@ def one_bucket(sketch):
     return run
 
 
+@pytest.mark.parametrize("n", [5, 12, 30, 200, 500])
+def test_recall_of_the_sketch_by_similarity(n):
+    """Pairs with spread substitutions, at every similarity from that of a link on, share a band."""
+    r = random.Random(n)
+    for similarity in (0.80, 0.82, 0.85, 0.88, 0.90, 0.95):
+        found = 0
+        for _ in range(200):
+            a = [str(r.randrange(10**6)) for _ in range(n)]
+            b = list(a)
+            for i in r.sample(range(n), int(n * (1 - similarity) + 1e-9)):
+                b[i] = "x" + b[i]
+            found += bool(set(dedup.sketch(" ".join(a))[1].tolist()) & set(dedup.sketch(" ".join(b))[1].tolist()))
+        assert found >= 196, (similarity, found)
+
+
 def test_topk_against_brute_force(spark):
     r = np.random.default_rng(2)
     rows = [(int(i), [float(x) for x in r.normal(size=8)]) for i in range(0, 1200, 4)] + [(100, [0.5] * 8), (None, [9.0] * 8), (7, None), (8, [1.0, float("nan")] * 4), (9, [1.0, None] * 4), (11, [1.0] * 3), (200, [1e5] * 8)]
