@@ -290,8 +290,9 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, text_key, class_id, copies (rows of the same text), links (different
-    texts it was found similar to)."""
+    """Per row of docs (doc_id, text): doc_id, text_key, class_id, class_key (the text that stands for the class: of
+    those with the class's smallest id, null last, the one with the smallest key), copies (rows of the same text),
+    links (different texts it was found similar to)."""
     docs = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     rows = written(docs.mapInPandas(_sketches, "doc_id long, text_key binary, n int, bands array<long>, bag binary"), "sketches")
     texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n").alias("n_words"), F.first("bag").alias("bag"))
@@ -360,21 +361,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     if links is not None:
         edges = links.select(F.col("text_key").alias("a"), F.col("leader").alias("b"))
         least = texts.select("text_key", "doc_id")
-        of_root = roots.join(least, "text_key").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+        of_root = roots.join(least, "text_key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x")).select("root", F.col("x.doc_id").alias("class_id"), F.col("x.text_key").alias("class_key"))
         number = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("text_key")).agg(F.count(F.lit(1)).alias("links"))
-        linked = roots.join(of_root, "root").join(number, "text_key").select("text_key", "class_id", "links")
-        classes = texts.join(linked, "text_key", "left").select("text_key", "copies", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+        linked = roots.join(of_root, "root").join(number, "text_key").select("text_key", "class_id", "class_key", "links")
+        classes = texts.join(linked, "text_key", "left").select("text_key", "copies", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
     else:
-        classes = texts.select("text_key", "copies", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
+        classes = texts.select("text_key", "copies", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"), F.lit(0).cast("long").alias("links"))
     classes = written(classes, "classes")
-    return rows.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "class_id", "copies", "links")
+    return rows.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "class_id", "class_key", "copies", "links")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stay, one of each class: the one with the smallest doc_id."""
+    """The rows of docs that stay, one of each class: one with its smallest doc_id (null only if all are) and the text
+    that stands for it. Classes are told apart by that text, as ids may be null or repeated."""
     columns = docs.columns
-    stay = near_duplicates(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stay = stay.groupBy("doc_id").agg(F.min("text_key").alias("text_key")).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    stay = near_duplicates(docs, similarity).filter(F.col("text_key") == F.col("class_key"))
+    stay = stay.select(F.col("class_id").alias("_doc"), F.col("class_key").alias("_key")).distinct()
     rows = keys(docs)
     rows = rows.join(stay, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     first = W.partitionBy("_key", "_doc").orderBy(F.lit(0))

@@ -154,6 +154,18 @@ def test_copies_behind_unlike_leaders(spark, monkeypatch):
         assert [got[i] for i in range(len(many))] == [i - i % 2 if i < 24 else i for i in range(len(many))]
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Null and repeated ids: classes are told apart by their texts."""
+    near = PROSE[0] + " extra"
+    rows = [(None, PROSE[0]), (None, PROSE[1]), (None, PROSE[1]), (None, near), (5, PROSE[2]), (5, PROSE[3]), (6, PROSE[3]), (None, PROSE[2]), (9, "a few other words here"), (9, "a few other words here"), (7, None), (8, None), (None, None), (None, None)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, place int")
+    got = sorted((r.doc_id or 0, r.text or "") for r in dedup.deduplicated(docs).collect())
+    first = [x for x in got if x[1] in (PROSE[0], near)]
+    assert len(first) == 1 and first[0][0] == 0
+    want = [(0, ""), (0, PROSE[1]), (5, PROSE[2]), (5, PROSE[3]), (7, ""), (8, ""), (9, "a few other words here")]
+    assert sorted(x for x in got if x not in first) == sorted(want)
+
+
 def one_bucket(sketch):
     def run(batches):
         import pandas as pd
