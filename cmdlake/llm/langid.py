@@ -8,8 +8,8 @@ log probabilities are averaged by the bytes they hold.
 
 The training sample is bounded: about PER_LANG documents of each language (those whose
 hash of id lies under a bound set by the language's count; never over twice as many in
-all), WINDOWS windows of each. The languages are those of the training
-rows, at most MOST_LANGS, the most frequent first. Prediction covers every text and
+all), WINDOWS windows of each. The languages are all those of the training
+rows, the most frequent first. Prediction covers every text and
 reads nothing but the text.
 
 Defined cases: null, empty and letterless texts are "und" with score 0; null ids are
@@ -34,7 +34,7 @@ from ._shared import id_remainder
 FOLDS, HELD_OUT, NONE = 4, 2, "und"
 #: Bytes of a window; sizes of the network; the bounds of the training sample.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4, 5), 8
-PER_LANG, WINDOWS, MOST_LANGS = 600, 3, 64
+PER_LANG, WINDOWS = 600, 3
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -111,7 +111,7 @@ def windows_of(data: bytes) -> np.ndarray:
 def train(docs: DataFrame, *, per_lang: int = PER_LANG, windows: int = WINDOWS, seed: int = 0) -> ByteCnn | None:
     """Fits the network to training rows of docs (doc_id, text, lang); None if there are none."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0) & (id_remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
-    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     langs = list(held)
     if not langs:
         return None

@@ -272,6 +272,14 @@ def test_language(spark):
     assert sum(got[i] == lang for i, _, lang in rows) >= 155
 
 
+def test_every_language_is_learned(spark):
+    """More languages than 64, the rarest among them."""
+    rows = [(i, f"{VOCABULARY[i % 70]} " * 9, f"l{i % 70:02d}") for i in range(70 * 6)] + [(1000 + i, "b " * 9, "l00") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {f"l{i % 70:02d}" for i in range(70 * 6) if zlib.crc32(str(i).encode()) % langid.FOLDS != langid.HELD_OUT}
+    assert len(held) > 64 and set(langid.train(df).langs) == held
+
+
 def test_trigram_queries_are_necessary():
     samples = {"assign": ["Api_Key=abcdefgh", "PASSWORD: 'hunter2hunter2'"], "access": ["AKIA0123456789AB"], "slack": ["xoxp-0123456789ab"], "stripe": ["rk_live_" + "a" * 20], "private_key": ["-----BEGIN RSA PRIVATE KEY-----"], "github": ["ghs_" + "A" * 40], "google": ["AIza" + "b" * 35], "jwt": ["eyJabcdefgh.eyJabcdefgh.abcdefgh"]}
     for rule in secrets.RULES:
