@@ -3,6 +3,7 @@ tables written there to cut lineage, and the word separators of the contracts.""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,30 +18,52 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir).
 
-    Where the session has none (tests, one machine) a temporary one is set."""
+    Where it is unset, a session of one process (tests) gets a temporary folder; on a cluster that is an
+    error, as each machine would write to a disk of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="cmdlake-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _where(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder, removed when the session's JVM ends."""
+    """A new folder's path in the shared folder, removed when the session's JVM ends if not before."""
     path = f"{shared_dir(spark)}/cmdlake-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    files, where = _where(spark, path)
+    files.deleteOnExit(where)
     return path
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder of new_path() that nothing reads any more."""
+    files, where = _where(spark, path)
+    files.delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, from Parquet files in the shared folder: they are computed once
     and survive the loss of any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Removes the files of tables of written(); no plan that still has to run may read them."""
+    for df in tables:
+        if df is not None:
+            removed(df.sparkSession, df.written_at)
 
 
 def let(value: Column, body) -> Column:

@@ -11,15 +11,25 @@ reaches pairs near SIMILARITY. Texts of up to SHORT words, where a few edits tou
 shingle of five, have as many values of shingles of two besides (of two texts that can be
 linked, one of 30 words or fewer has no partner above SHORT). A sketch can still miss a
 pair: one edit in every five words, evenly spaced, leaves no common shingle of five (the
-README has the recall measured). Texts with an equal value share a bucket. In a bucket all members are first compared
-with a leader, the member that shares most buckets: of edited copies the one that the
-others come from; then, in a bucket that still holds several components, with a second
-leader, drawn by hash from outside its largest component. What is left is every pair of
-a bucket that lies in two components and was not compared: each such pair is compared,
-unless the numbers of words or the bags of words' hashes, counted into BAG cells, prove it
-too far apart (both bound the edit distance from below, so no link is lost). So the classes
-are those of all pairs that share a bucket. Buckets above SMALL members are paired in tiles
-of about TILE x TILE, each a group of its own.
+README has the recall measured). Texts with an equal value share a bucket; of buckets with
+the same members one is kept.
+
+Rounds, whose comparisons grow with the members, not with their pairs: first each member
+meets the bucket's leader, the member that shares most buckets (of edited copies the one
+that the others come from); then, in buckets that still hold several components, each
+member outside the largest one meets members of it that hashes choose, MEETINGS times.
+What is left is every pair of a bucket that lies in two components. Buckets up to SMALL
+members are paired as they are. In a larger one (unlike texts with a common line or
+passage) a pair can only be linked if most pairs of neighbouring words are common to both
+(an edit touches two), so that one of each text's rarest is among the other's rarest: an
+exact prefix filter, by the order of how many texts have a cell of CELLS (any one order is
+right, and pairs of a common line come last). Members go to the keys of their rarest pairs
+of words and meet there. So no link of a bucket is lost, and no bucket's pairs are written
+out. Keys with more than SMALL members are paired in tiles of about TILE x TILE, each a
+group of its own; a pair that has several such keys meets at the first one, as far as the
+keys before are the same. Numbers of words
+and the bags of words' hashes, counted into BAG cells, rule out pairs before any text is
+read (both bound the edit distance from below).
 
 Verification: common ends are dropped, a bag distance bounds the edit distance from
 below, and what is left goes through a bit-parallel alignment of the band of
@@ -45,16 +55,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._shared import written
+from ._shared import forget, written
 
 #: Words of a shingle and the similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands, and shingles picked by each.
 BANDS, LEAST = 24, 2
 #: Bands of one shingle; words up to which a text has such bands of shingles of two words as well.
-SINGLES, SHORT = 40, 38
+SINGLES, SHORT = 24, 38
 #: Cells of a bag; members of a bucket up to which a plain join pairs them; members of a tile's side.
-BAG, SMALL, TILE = 64, 64, 256
+BAG, SMALL, TILE = 256, 16, 256
+#: Rounds of meetings with the largest component; a bucket's members of it that can be met; cells of the grams' counts.
+MEETINGS, MET, CELLS = 1, 8, 1 << 18
+#: Parts that the edges of one centre are dealt to.
+SALTS = 8
 
 _RNG = np.random.default_rng(20_011)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,8 +146,8 @@ def sketch(text: str) -> tuple[int, np.ndarray, bytes]:
     """Number of words; the bands' values (none if there are no words); the bag: how many words' hashes fall in each cell."""
     w = word_hashes(text)
     if not len(w):
-        return 0, np.zeros(0, np.int64), bytes(2 * BAG)
-    bag = np.minimum(np.bincount((w & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 65535).astype("<u2").tobytes()
+        return 0, np.zeros(0, np.int64), bytes(BAG)
+    bag = np.minimum(np.bincount((w & np.uint64(BAG - 1)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
     g, labelled = _shingles(w, SHINGLE)
     least = min(LEAST, len(g))
     picked = np.empty((BANDS, least), np.int64)
@@ -155,8 +169,52 @@ def sketch(text: str) -> tuple[int, np.ndarray, bytes]:
 
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        got = [sketch(t) if isinstance(t, str) else (0, np.zeros(0, np.int64), bytes(2 * BAG)) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "n": [n for n, _, _ in got], "bands": [x for _, x, _ in got], "bag": [x for _, _, x in got]})
+        for lo in range(0, len(b), 1000):
+            some = b.iloc[lo : lo + 1000]
+            got = [sketch(t) if isinstance(t, str) else (0, np.zeros(0, np.int64), bytes(BAG)) for t in some["text"]]
+            yield pd.DataFrame({"text_key": some["text_key"].to_numpy(), "n_words": [n for n, _, _ in got], "bands": [np.unique(x) for _, x, _ in got], "bag": [x for _, _, x in got]})
+
+
+def grams(text: str, similarity: float) -> np.ndarray:
+    """Hashes of the pairs of neighbouring words (of a lone word, or where so few must be alike that no pair need be: of words)."""
+    w = word_hashes(text)
+    if len(w) < 2 or similarity < 0.75:
+        return w
+    return _mix(w[:-1] * _ODD[12] + w[1:] * _ODD[13])
+
+
+def _cells(similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many texts have a gram in each cell of its hash; a row for each cell and task."""
+        n = np.zeros(CELLS, np.int64)
+        for b in batches:
+            for t in b["text"]:
+                n[np.unique(grams(t, similarity) & np.uint64(CELLS - 1)).astype(np.int64)] += 1
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": at, "n": n[at]})
+
+    return run
+
+
+def rarest(text: str, n_words: int, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """Hashes of the grams, labelled by occurrence, that come first by the counts of their cells: so many that any
+    text within the similarity has one of them among its own. An edit touches at most two pairs (one word), so of the
+    longer text's grams all but twice (once) the edits allowed are common to both."""
+    g = grams(text, similarity)
+    labelled, touched = _shingles(g, 1)[1], 1 if len(g) == n_words else 2
+    longer = np.arange(n_words, int(n_words / similarity) + 2)
+    common = int((longer - (n_words - len(g)) - touched * np.floor(longer - similarity * longer + 1e-9)).min())
+    order = np.lexsort((labelled, counts[(g & np.uint64(CELLS - 1)).astype(np.int64)]))
+    out = np.sort(labelled[order[: len(g) - max(common, 1) + 1]].view(np.int64))
+    return np.where(out == 0, 1, out)  # 0 says that there is no key
+
+
+def _rarest(shared, similarity: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"text_key": b["text_key"], "keys": [rarest(t, n, shared.value, similarity) for t, n in zip(b["text"], b["n_words"])]})
+
+    return run
 
 
 def keys(docs: DataFrame) -> DataFrame:
@@ -234,25 +292,27 @@ def _verified(similarity: float):
 def _near(a: np.ndarray, b: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
     """Whether bags allow an edit distance of (1 - similarity) of n, the words of the longer: a bound from below."""
     d = a - b
-    more = np.maximum(d, 0).sum(-1)
-    return np.maximum(more, more - d.sum(-1)) <= np.floor(n - similarity * n + 1e-9)
+    more = np.maximum(d, 0).sum(-1, dtype=np.int32)
+    return np.maximum(more, more - d.sum(-1, dtype=np.int32)) <= np.floor(n - similarity * n + 1e-9)
 
 
 def _bags(column) -> np.ndarray:
-    return np.frombuffer(b"".join(map(bytes, column)), "<u2").reshape(-1, BAG).astype(np.int32)
+    return np.frombuffer(b"".join(map(bytes, column)), np.uint8).reshape(-1, BAG).astype(np.int16)
 
 
 def _tiled(similarity: float):
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        """A tile: pairs of members of block lo and block hi, in two components, that may be near."""
+        """A tile: pairs of members of block lo and block hi, in two components, that may be near. Where both have the
+        same crowded key before this one, they have met there."""
         lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
         g = g.sort_values("text_key", ignore_index=True)
         bag, n, root, key = _bags(g["bag"]), g["n_words"].to_numpy(), pd.factorize(g["root"].map(bytes))[0], g["text_key"].to_numpy(object)
+        before = g["before"].fillna(0).to_numpy(np.int64)
         left, right = np.flatnonzero(g["block"] == lo), np.flatnonzero(g["block"] == hi)
         out: list = []
         for i in left:
             at = right[right > i] if lo == hi else right
-            at = at[root[at] != root[i]]
+            at = at[(root[at] != root[i]) & ((before[at] != before[i]) | (before[i] == 0))]
             at = at[_near(bag[at], bag[i], np.maximum(n[at], n[i]), similarity)] if len(at) else at
             out += [(key[min(i, j)], key[max(i, j)]) for j in at]
         return pd.DataFrame(out, columns=["text_key", "leader"])
@@ -270,90 +330,138 @@ def _filtered(similarity: float):
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """text_key, root (the smallest key of its component) for the ends of edges (a, b)."""
+    """text_key, root (the smallest key of its component) for the ends of edges (a, b), written."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        joined = both.join(least, "a")
+        # A centre's least neighbour goes to SALTS parts, among which its edges are dealt out.
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumn("salt", salts)
+        joined = both.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(least, ["a", "salt"])
         kept = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select("b", "m").union(joined.select("a", "m")).toDF("a", "b")
         return kept.filter(F.col("a") != F.col("b")).distinct()
 
-    said, now = None, edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    said, before, now = None, None, written(edges.select("a", "b").filter(F.col("a") != F.col("b")), "stars")
     while True:
-        now = written(star(star(now, True), False), "stars")
         r = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        forget(before)
         if tuple(r) == said:
             break
-        said = tuple(r)
-    return now.select(F.col("a").alias("text_key"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+        said, before = tuple(r), now
+        now = written(star(star(now, True), False), "stars")
+    out = written(now.select(F.col("a").alias("text_key"), F.col("b").alias("root")).union(now.select("b", "b").distinct()), "roots")
+    forget(now)
+    return out
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text_key, class_id, class_key (the text that stands for the class: of
     those with the class's smallest id, null last, the one with the smallest key), copies (rows of the same text),
     links (different texts it was found similar to)."""
+    spark = docs.sparkSession
     docs = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = written(docs.mapInPandas(_sketches, "doc_id long, text_key binary, n int, bands array<long>, bag binary"), "sketches")
-    texts = rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("n").alias("n_words"), F.first("bag").alias("bag"))
-    texts = written(texts, "texts")
+    texts = written(docs.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts")
+    sketches = written(texts.select("text_key", "text").mapInPandas(_sketches, "text_key binary, n_words int, bands array<long>, bag binary"), "sketches")
+    bags = sketches.select("text_key", "n_words", "bag")
 
-    members = texts.filter(F.size("bands") > 0).select("text_key", F.explode("bands").alias("h")).distinct()
-    members = written(members.join(members.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "h"), "members")
-    # The texts of all members, one row for each different text.
-    needed = texts.join(members.select("text_key").distinct(), "text_key").select("text_key", "doc_id", "n_words", "bag")
-    whole = docs.join(needed.select("text_key", F.col("doc_id").alias("_doc")), (docs["text_key"] == needed["text_key"]) & docs["doc_id"].eqNullSafe(F.col("_doc"))).select(docs["text_key"], "text")
-    whole = written(whole.dropDuplicates(["text_key"]), "member-texts")
-    needed = written(needed.select("text_key", "n_words", "bag"), "member-bags")
-    degree = written(members.groupBy("text_key").agg(F.sum("n").alias("degree")), "degrees")
+    members = sketches.select("text_key", F.explode("bands").alias("h"))
+    counted = members.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("text_key").cast("decimal(38,0)")).alias("who")).filter("n > 1")
+    counted = written(counted.groupBy("n", "who").agg(F.min("h").alias("h")).select("h", "n"), "buckets")
+    members = written(members.join(counted, "h"), "members")
 
-    done = links = roots = None
+    done, links, roots, open_tables = [], None, None, [counted, members]
+
+    def every() -> DataFrame:
+        out = done[0]
+        for x in done[1:]:
+            out = out.union(x)
+        return out
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """text_key, leader, ok of the pairs that no round before has compared."""
+        """text_key, leader, ok of the pairs that no round before has compared and no bound rules out."""
         pairs = pairs.filter(F.col("text_key") != F.col("leader")).select(F.least("text_key", "leader").alias("text_key"), F.greatest("text_key", "leader").alias("leader")).distinct()
-        if done is not None:
-            pairs = pairs.join(done.select("text_key", "leader"), ["text_key", "leader"], "left_anti")
+        if done:
+            pairs = pairs.join(every().select("text_key", "leader"), ["text_key", "leader"], "left_anti")
+        pairs = pairs.join(bags, "text_key").join(bags.select(F.col("text_key").alias("leader"), F.col("n_words").alias("_n"), F.col("bag").alias("other")), "leader")
+        most = F.greatest("n_words", "_n")
+        pairs = pairs.withColumn("most", most).filter(F.abs(F.col("n_words") - F.col("_n")) <= F.floor(most - similarity * most + 1e-9))
+        pairs = written(pairs.select("text_key", "leader", "bag", "other", "most").mapInPandas(_filtered(similarity), "text_key binary, leader binary"), "pairs")
+        whole = texts.select("text_key", "text")
         joined = pairs.join(whole, "text_key").join(whole.select(F.col("text_key").alias("leader"), F.col("text").alias("leader_text")), "leader")
-        return written(joined.select("text_key", "text", "leader", "leader_text").mapInPandas(_verified(similarity), "text_key binary, leader binary, ok boolean"), "verified")
+        out = written(joined.select("text_key", "text", "leader", "leader_text").mapInPandas(_verified(similarity), "text_key binary, leader binary, ok boolean"), "verified")
+        forget(pairs)
+        return out
 
     def unresolved() -> DataFrame:
-        """text_key, h, root, largest: members of buckets that hold several components, and the bucket's largest one."""
+        """text_key, h, root, largest, n: members of buckets that hold several components, and the bucket's largest one."""
         rooted = written(members.select("text_key", "h").join(roots, "text_key", "left").select("text_key", "h", F.coalesce("root", "text_key").alias("root")), "rooted")
         parts = rooted.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"))
         several = parts.groupBy("h").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("n")).filter("parts > 1")
-        return written(rooted.join(several.select("h", F.col("x.root").alias("largest"), "n"), "h"), "unresolved")
-
-    for turn in range(3):
+        several = written(several.select("h", F.col("x.root").alias("largest"), "n"), "several")
+        out = written(rooted.join(several, "h"), "unresolved")
+        forget(rooted, several)
+        return out
+
+    def meetings(left: DataFrame, turn: int) -> DataFrame:
+        """Each member outside its bucket's largest component, and one of that component, by slots of hashes. Those that
+        several buckets name are told apart by the pair alone, so that of a component a text meets MET at most."""
+        slot = lambda *by: F.pmod(F.xxhash64(*by, F.lit(turn)), F.lit(MET))
+        inside = left.filter(F.col("root") == F.col("largest")).select("h", "largest", slot("text_key").alias("slot"), "text_key")
+        some = written(inside.groupBy("h", "largest", "slot").agg(F.max(F.struct(F.xxhash64("text_key", F.lit(turn)), "text_key")).alias("x")).select("h", "largest", "slot", F.col("x.text_key").alias("leader")), "met")
+        open_tables.append(some)
+        out = left.filter(F.col("root") != F.col("largest")).select("text_key", "h", slot("text_key", "h").alias("slot")).join(some, ["h", "slot"])
+        return out.groupBy("text_key", "largest", "slot").agg(F.max("leader").alias("leader")).select("text_key", "leader")
+
+    def rest(left: DataFrame) -> DataFrame:
+        """All pairs of a bucket in two components that can be linked."""
+        words = bags.select("text_key", "n_words")
+        small = left.filter(F.col("n") <= SMALL).join(words, "text_key").select(F.col("h").alias("key"), "n", "text_key", "root", "n_words")
+        texts_of = left.filter(F.col("n") > SMALL).select("text_key", "root").distinct()
+        texts_of = written(texts_of.join(words, "text_key").join(texts.select("text_key", "text"), "text_key"), "crowded")
+        counts = np.zeros(CELLS, np.int64)
+        for r in texts_of.select("text").mapInPandas(_cells(similarity), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most CELLS rows, whatever the corpus
+            counts[r["cell"]] = r["n"]
+        keyed = texts_of.select("text_key", "n_words", "text").mapInPandas(_rarest(spark.sparkContext.broadcast(counts), similarity), "text_key binary, keys array<long>")
+        keyed = written(keyed.select("text_key", F.explode("keys").alias("key")).join(texts_of.drop("text"), "text_key"), "keyed")
+        # Keys with several components; most grams have one text and go here.
+        shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key", "n"), "keys")
+        named = written(keyed.join(shared, "key").select("key", "n", "text_key", "root", "n_words"), "named")
+        forget(keyed, shared)
+        open_tables.extend([texts_of, named])
+
+        few = small.union(named.filter(F.col("n") <= SMALL))
+        other = few.select("key", F.col("text_key").alias("leader"), F.col("root").alias("_root"), F.col("n_words").alias("_n"))
+        most = F.greatest("n_words", "_n")
+        far = F.abs(F.col("n_words") - F.col("_n")) > F.floor(most - similarity * most + 1e-9)
+        pairs = few.join(other, "key").filter((F.col("text_key") < F.col("leader")) & (F.col("root") != F.col("_root")) & ~far).select("text_key", "leader")
+        # Crowded keys: each member goes to the tiles of its block with every block.
+        blocks = F.ceil(F.col("n") / TILE)
+        large = named.filter(F.col("n") > SMALL).withColumn("before", F.lag("key").over(W.partitionBy("text_key").orderBy(F.desc("n"), "key")))  # a text's keys are fewer than its words
+        large = large.join(bags.select("text_key", "bag"), "text_key").withColumn("block", F.pmod(F.xxhash64("text_key"), blocks))
+        large = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
+        large = large.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "before", "text_key", "root", "n_words", "bag")
+        return pairs.union(large.groupBy("key", "lo", "hi").applyInPandas(_tiled(similarity), "text_key binary, leader binary"))
+
+    for turn in range(MEETINGS + 2):
+        left = None
         if turn == 0:
+            degree = written(members.groupBy("text_key").agg(F.sum("n").alias("degree")), "degrees")
             leaders = members.join(degree, "text_key").groupBy("h").agg(F.max(F.struct("degree", "text_key")).alias("x")).select("h", F.col("x.text_key").alias("leader"))
+            leaders = written(leaders, "leaders")
+            open_tables.extend([degree, leaders])
             pairs = members.select("h", "text_key").join(leaders, "h")
         else:
             left = unresolved()
+            open_tables.append(left)
             if not left.limit(1).count():
                 break
-        if turn == 1:
-            leaders = left.filter(F.col("root") != F.col("largest")).groupBy("h").agg(F.max(F.struct(F.xxhash64("h", "text_key"), "text_key", "root")).alias("x")).select("h", F.col("x.text_key").alias("leader"), F.col("x.root").alias("_root"))
-            pairs = left.join(leaders, "h").filter(F.col("root") != F.col("_root"))
-        if turn == 2:
-            left = written(left.join(needed, "text_key").select("h", "n", "text_key", "root", "n_words", "bag"), "left")
-            small = left.filter(F.col("n") <= SMALL).select("h", "text_key", "root", "n_words")
-            other = small.select("h", F.col("text_key").alias("leader"), F.col("root").alias("_root"), F.col("n_words").alias("_n"))
-            most = F.greatest("n_words", "_n")
-            far = F.abs(F.col("n_words") - F.col("_n")) > F.floor(most - similarity * most + 1e-9)
-            pairs = small.join(other, "h").filter((F.col("text_key") < F.col("leader")) & (F.col("root") != F.col("_root")) & ~far).select("text_key", "leader", most.alias("most")).distinct()
-            pairs = pairs.join(needed.select("text_key", "bag"), "text_key").join(needed.select(F.col("text_key").alias("leader"), F.col("bag").alias("other")), "leader")
-            pairs = pairs.mapInPandas(_filtered(similarity), "text_key binary, leader binary")
-            # Large buckets: each member goes to the tiles of its block with every block.
-            blocks = F.ceil(F.col("n") / TILE)
-            large = left.filter(F.col("n") > SMALL).withColumn("block", F.pmod(F.xxhash64("text_key"), blocks))
-            large = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
-            large = large.select("h", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "text_key", "root", "n_words", "bag")
-            pairs = pairs.union(large.groupBy("h", "lo", "hi").applyInPandas(_tiled(similarity), "text_key binary, leader binary"))
+            pairs = meetings(left, turn) if turn <= MEETINGS else rest(left)
         got = compared(pairs)
-        done = got if done is None else done.union(got)
+        done.append(got)
         if got.filter("ok").limit(1).count():
-            links = done.filter("ok")
+            links = every().filter("ok")
+            if roots is not None and "written_at" in roots.__dict__:
+                open_tables.append(roots)
             roots = _components(links.select(F.col("text_key").alias("a"), F.col("leader").alias("b")))
         elif roots is None:
             roots = texts.select("text_key", F.col("text_key").alias("root")).limit(0)
@@ -363,24 +471,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         least = texts.select("text_key", "doc_id")
         of_root = roots.join(least, "text_key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x")).select("root", F.col("x.doc_id").alias("class_id"), F.col("x.text_key").alias("class_key"))
         number = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("text_key")).agg(F.count(F.lit(1)).alias("links"))
-        linked = roots.join(of_root, "root").join(number, "text_key").select("text_key", "class_id", "class_key", "links")
-        classes = texts.join(linked, "text_key", "left").select("text_key", "copies", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
+        linked = roots.join(written(of_root, "of-root"), "root").join(number, "text_key").select("text_key", "class_id", "class_key", "links")
+        classes = texts.select("text_key", "doc_id", "copies").join(linked, "text_key", "left").select("text_key", "copies", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
     else:
         classes = texts.select("text_key", "copies", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"), F.lit(0).cast("long").alias("links"))
     classes = written(classes, "classes")
-    return rows.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "class_id", "class_key", "copies", "links")
+    forget(texts, sketches, *open_tables, *done)
+    return docs.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "class_id", "class_key", "copies", "links")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stay, one of each class: one with its smallest doc_id (null only if all are) and the text
     that stands for it. Classes are told apart by that text, as ids may be null or repeated."""
-    columns = docs.columns
+    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stay = near_duplicates(docs, similarity).filter(F.col("text_key") == F.col("class_key"))
-    stay = stay.select(F.col("class_id").alias("_doc"), F.col("class_key").alias("_key")).distinct()
-    rows = keys(docs)
-    rows = rows.join(stay, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    first = W.partitionBy("_key", "_doc").orderBy(F.lit(0))
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*columns)
+    stay = stay.select("class_id", "class_key").distinct()
+    rows = keys(inner)
+    rows = rows.join(stay, (F.col("text_key") == F.col("class_key")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = W.partitionBy("class_key", "class_id").orderBy(F.lit(0))
+    return rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

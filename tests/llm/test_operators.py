@@ -172,7 +172,7 @@ def one_bucket(sketch):
 
         for b in batches:
             got = [sketch(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_key": b["text_key"], "n": [x[0] for x in got], "bands": [[1]] * len(b), **({"bag": [x[2] for x in got]} if len(got[0]) > 2 else {})})
+            yield pd.DataFrame({"text_key": b["text_key"], "n_words": [x[0] for x in got], "bands": [[1]] * len(b), "bag": [x[2] for x in got]})
 
     return run
 
