@@ -9,10 +9,12 @@ Model: the LM vocabulary is the end token, VOCABULARY - 2 most frequent words, a
 token for all other words, whose spelling then has the probability
 (c + 1) / (their counts + their number + 1), an unseen word that of c = 0. The output
 softmax is factored: a class given the state, a word given state and class. It starts
-from the counts (unigrams) and learns by truncated backpropagation in numpy: each task
-trains on all of each of its training documents, WINDOW tokens at a time with the state
-carried on, and the tasks' parameters are averaged as a tree, weighted by tokens;
-ROUNDS times.
+from the counts (unigrams) and learns by truncated backpropagation in numpy: documents
+are dealt by hashes into groups of about PART tokens, and a task trains on every token of
+a group's documents, WINDOW tokens at a time with the state carried on from window to
+window, BATCH lanes of whole documents side by side. The groups' parameters are averaged
+as a tree, weighted by tokens. Groups depend on the rows alone, so scores do not depend on
+how the table is partitioned.
 
 Scoring: documents of similar length go through the network together, window by window,
 with the state carried from one window into the next, so that a document of any length
@@ -26,10 +28,10 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -44,9 +46,9 @@ FOLDS, HELD_OUT = 7, 2
 #: The end of a text; no word is white space.
 END = b"\n"
 #: Words with counts on every worker (a bound on what is broadcast); the LM's vocabulary and classes; sizes of the network.
-HEAD, VOCABULARY, CLASSES, STATE, EMBED = 1 << 18, 1024, 32, 16, 16
-#: Tokens of a window, documents at once, rounds, learning rate.
-WINDOW, BATCH, ROUNDS, RATE = 16, 96, 2, 1.2e-2
+HEAD, VOCABULARY, CLASSES, STATE, EMBED = 1 << 18, 2048, 32, 32, 24
+#: Tokens of a window, lanes, learning rate, tokens of a group (one model is learned of each).
+WINDOW, BATCH, RATE, PART = 16, 512, 1.6e-2, 6_000_000
 #: Documents scored together.
 TOGETHER = 1024
 #: Tokens of a window in scoring.
@@ -60,13 +62,27 @@ def _tokens(text) -> list[bytes]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
     np.negative(x, out=x)
-    np.exp(x, out=x)
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0, as it should be
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
+class _Numbers(dict):
+    """Numbers of words; one for all that are not there."""
+
+    def __init__(self, words: list[bytes], first: int, other: int):
+        super().__init__(zip(words, range(first, first + len(words))))
+        self.other = other
+
+    def __missing__(self, word):
+        return self.other
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 class Gru:
     SHAPES = {
         "e": (VOCABULARY, EMBED), "wx": (EMBED, 3 * STATE), "wh": (STATE, 3 * STATE), "b": (3 * STATE,),
@@ -105,10 +121,13 @@ class Gru:
         gh = h @ self.p["wh"]
         zr = _sigmoid(gx[:, : 2 * STATE] + gh[:, : 2 * STATE])
         z, r, rec = zr[:, :STATE], zr[:, STATE:], gh[:, 2 * STATE :]
-        n = _sigmoid(2 * (gx[:, 2 * STATE :] + r * rec))
-        n *= 2
-        n -= 1
-        return z, r, n, rec, n + z * (h - n)
+        n = r * rec
+        n += gx[:, 2 * STATE :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return z, r, n, rec, new
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probability of token y[i] in state h[i]."""
@@ -155,77 +174,113 @@ class Gru:
                 out[some[:n]] += np.bincount(np.nonzero(valid)[0], logs, n)
         return out
 
-    def train(self, texts: Iterator[np.ndarray], rate: float = RATE) -> int:
-        """Adam over all windows of all texts, each from STOP to STOP: BATCH texts side by side, each with its own
-        state carried from window to window; one that ends gives way to the next. Gives the number of tokens learned."""
+    def train(self, texts: list[np.ndarray], rate: float = RATE, wide: int = BATCH) -> int:
+        """Adam over all windows of all texts, each of its tokens and STOP: up to `wide` lanes side by side, each a row
+        of whole texts with the state carried from window to window and begun anew with each text. Gives the number of
+        tokens learned."""
+        flat, lanes = lay_out(texts, wide)
         m, s = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        steps = seen = 0
-        held: list[np.ndarray] = []
-        h, texts = np.zeros((0, STATE), np.float32), iter(texts)
-        while True:
-            more = [i for i, x in enumerate(held) if len(x) > 1]
-            new = list(islice(texts, BATCH - len(more)))
-            held, h = [held[i] for i in more] + new, np.concatenate([h[more], np.zeros((len(new), STATE), np.float32)])
-            if not held:
-                return seen
-            rows = np.full((len(held), min(WINDOW + 1, max(map(len, held)))), -1)
-            for i, x in enumerate(held):
-                rows[i, : min(len(x), rows.shape[1])] = x[: rows.shape[1]]
-            held = [x[WINDOW:] for x in held]
-            x, y = rows[:, :-1], rows[:, 1:]
-            valid = y >= 0
-            g, h = self._gradients(np.maximum(x, 0), y, valid, h)
-            seen, steps = seen + int(valid.sum()), steps + 1
-            # Where few texts are left, the last long ones, steps are smaller by the root of their share.
-            now = rate / (1 + steps / 400) * math.sqrt(len(held) / BATCH)
+        h, steps, every = np.zeros((len(lanes), STATE), np.float32), 0, 0
+        last = np.full(len(lanes), STOP)
+        for at in range(0, int(lanes[0, 1]) if len(lanes) else 0, WINDOW):
+            n = int(np.searchsorted(-lanes[:, 1], -at, "left"))  # the lanes that are longer than at
+            place = at + np.arange(WINDOW)[:, None]
+            valid = place < lanes[:n, 1]
+            y = flat[np.where(valid, lanes[:n, 0] + place, 0)]
+            x = np.concatenate([last[None, :n], y[:-1]])
+            g, h = self._gradients(x, y, valid, h[:n])
+            last, every, steps = y[-1], every + int(valid.sum()), steps + 1
+            # Where few lanes are left, the last long ones, steps are smaller by the root of their share.
+            now = rate / (1 + steps / 400) * math.sqrt(n / wide)
             for k, d in g.items():
                 m[k] += 0.1 * (d - m[k])
                 s[k] += 0.002 * (d * d - s[k])
                 self.p[k] -= now * (m[k] / (1 - 0.9**steps)) / (np.sqrt(s[k] / (1 - 0.998**steps)) + 1e-6)
+        return every
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, valid: np.ndarray, h: np.ndarray):
-        p, gates, kept = self.p, self.inputs(), []
-        states = np.empty((*x.shape, STATE), np.float32)
-        for t in range(x.shape[1]):
-            z, r, n, rec, new = self.step(gates[x[:, t]], h)
+        """x, y, valid: places by lanes. The gradients of the mean loss, clipped; the state after the window."""
+        p, kept, (width, lanes) = self.p, [], x.shape
+        gates = self.inputs()[x]
+        states = np.empty((width, lanes, STATE), np.float32)
+        begins = x == STOP
+        for t in range(width):
+            h = np.where(begins[t][:, None], np.float32(0), h)
+            z, r, n, rec, new = self.step(gates[t], h)
             kept.append((h, z, r, n, rec))
-            h = states[:, t] = new
+            h = states[t] = new
         g = {k: np.zeros_like(a) for k, a in p.items()}
-        hs, ys = states[valid], y[valid]
-        scale = np.float32(1 / len(ys))
-        group, rows = ys // self.SIZE, np.arange(len(ys))
-        q = np.exp(hs @ p["c"].T + p["cb"])
-        q /= q.sum(1, keepdims=True)
-        q[rows, group] -= 1
-        q *= scale
+        at = np.flatnonzero(valid.ravel())
+        at = at[np.argsort(y.ravel()[at], kind="stable")]  # by word, so that each class is a slice
+        ys, hs = y.ravel()[at], states.reshape(-1, STATE)[at]
+        scale, group = np.float32(1 / len(ys)), ys // self.SIZE
+        q = hs @ p["c"].T
+        q += p["cb"]
+        np.exp(q, out=q)
+        q *= scale / q.sum(1, keepdims=True)
+        q[np.arange(len(ys)), group] -= scale
         g["c"], g["cb"], dhs = q.T @ hs, q.sum(0), q @ p["c"]
-        for k in np.unique(group):
-            at, part = np.flatnonzero(group == k), slice(k * self.SIZE, (k + 1) * self.SIZE)
-            q = np.exp(hs[at] @ p["w"][part].T + p["wb"][part])
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(at)), ys[at] - k * self.SIZE] -= 1
-            q *= scale
-            g["w"][part], g["wb"][part] = q.T @ hs[at], q.sum(0)
-            dhs[at] += q @ p["w"][part]
-        dstates = np.zeros_like(states)
-        dstates[valid] = dhs
-        dgates, dh = np.zeros_like(gates), np.zeros_like(h)
-        for t in range(x.shape[1] - 1, -1, -1):
+        edges = np.searchsorted(group, np.arange(CLASSES + 1))
+        for k in range(CLASSES):
+            lo, hi = edges[k], edges[k + 1]
+            if lo < hi:
+                part, own = slice(k * self.SIZE, (k + 1) * self.SIZE), hs[lo:hi]
+                q = own @ p["w"][part].T
+                q += p["wb"][part]
+                np.exp(q, out=q)
+                q *= scale / q.sum(1, keepdims=True)
+                q[np.arange(hi - lo), ys[lo:hi] - k * self.SIZE] -= scale
+                g["w"][part], g["wb"][part] = q.T @ own, q.sum(0)
+                dhs[lo:hi] += q @ p["w"][part]
+        dstates = np.zeros((width * lanes, STATE), np.float32)
+        dstates[at] = dhs
+        dstates = dstates.reshape(states.shape)
+        din, drecs, dh = np.empty((width, lanes, 3 * STATE), np.float32), np.empty((width, lanes, 3 * STATE), np.float32), np.zeros((lanes, STATE), np.float32)
+        wh = np.ascontiguousarray(p["wh"].T)
+        for t in range(width - 1, -1, -1):
             before, z, r, n, rec = kept[t]
-            dh = dh + dstates[:, t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz, dr = dh * (before - n) * z * (1 - z), dn * rec * r * (1 - r)
-            drec = np.concatenate([dz, dr, dn * r], 1)
-            g["wh"] += before.T @ drec
-            np.add.at(dgates, x[:, t], np.concatenate([dz, dr, dn], 1))
-            dh = dh * z + drec @ p["wh"].T
-        g["e"], g["wx"], g["b"] = dgates @ p["wx"].T, p["e"].T @ dgates, dgates.sum(0)
+            dh += dstates[t]
+            i, d = din[t], drecs[t]
+            dz, dr, dn, away = i[:, :STATE], i[:, STATE : 2 * STATE], i[:, 2 * STATE :], 1 - z
+            np.multiply(dh, away, out=dn)
+            dn *= 1 - n * n
+            np.multiply(before - n, dh, out=dz)
+            away *= z
+            dz *= away
+            np.multiply(dn, rec, out=dr)
+            dr *= r * (1 - r)
+            d[:, : 2 * STATE] = i[:, : 2 * STATE]
+            np.multiply(dn, r, out=d[:, 2 * STATE :])
+            dh *= z
+            dh += d @ wh
+            dh[begins[t]] = 0
+        g["wh"] = np.concatenate([k[0] for k in kept]).T @ drecs.reshape(-1, 3 * STATE)
+        words, flat = x.ravel(), din.reshape(-1, 3 * STATE)
+        seen = flat @ p["wx"].T
+        for i in range(EMBED):
+            g["e"][:, i] = np.bincount(words, seen[:, i], VOCABULARY)
+        g["wx"], g["b"] = p["e"][words].T @ flat, flat.sum(0)
         norm = math.sqrt(sum(float((d * d).sum()) for d in g.values()))
         if norm > 1:
             g = {k: d / np.float32(norm) for k, d in g.items()}
         return g, h
 
 
+def lay_out(texts: list[np.ndarray], wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts one after another, lane by lane, and per lane its first place and its length, longest lane first.
+    Texts go whole to the lane that is shortest so far, the longest texts first."""
+    lanes: list = [[0, i, []] for i in range(min(wide, len(texts)))]
+    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        lane = lanes[0]
+        lane[2].append(i)
+        heapq.heapreplace(lanes, [lane[0] + len(texts[i]), lane[1], lane[2]])
+    lanes.sort(key=lambda x: (-x[0], x[1]))
+    order = [i for x in lanes for i in x[2]]
+    lengths = np.array([x[0] for x in lanes], np.int64)
+    flat = np.concatenate([texts[i] for i in order]) if order else np.zeros(0, np.int16)
+    return flat, np.stack([np.cumsum(lengths) - lengths, lengths], 1)
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for b in batches:
@@ -264,10 +319,11 @@ _HEADS: dict = {}
 
 
 def _head(shared):
-    """(index of words, their counts) of a broadcast head; made once a worker."""
+    """Of a broadcast head: numbers of its words, their counts, and tokens of the LM by word; made once a worker."""
     words, n = shared.value
     if _HEADS.get("of") is not words:
-        _HEADS.update(of=words, head=({w: i for i, w in enumerate(words.split(b"\n"))} if words else {}, n))
+        each = words.split(b"\n") if words else []
+        _HEADS.update(of=words, head=(_Numbers(each, 0, -1), n, _Numbers(each[: VOCABULARY - 2], 2, OTHER)))
     return _HEADS["head"]
 
 
@@ -276,20 +332,13 @@ def _lm_ids(numbers: np.ndarray) -> np.ndarray:
     return np.where((numbers >= 0) & (numbers < VOCABULARY - 2), numbers + 2, OTHER)
 
 
-def _trainer(shared, flat: np.ndarray, turn: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, _ = _head(shared)
+def _trainer(shared, flat: np.ndarray):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        _, _, tokens = _head(shared)
+        texts = [np.append(tokens.of(_tokens(x)), STOP).astype(np.int16) for x in group.sort_values(["doc_id", "text"], na_position="first")["text"]]
         model = Gru.of_flat(flat)
-
-        def rows() -> Iterator[np.ndarray]:
-            for b in batches:
-                for text in b["text"]:
-                    ids = _lm_ids(np.array([index.get(w, -1) for w in _tokens(text)], np.int64))
-                    yield np.concatenate([[STOP], ids, [STOP]]).astype(np.int64)
-
-        seen = model.train(rows(), RATE / (1 + turn))
-        if seen:
-            yield pd.DataFrame({"weight": [float(seen)], "params": [(model.flat().astype(np.float64) * seen).tobytes()]})
+        seen = model.train(texts)
+        return pd.DataFrame({"weight": [float(seen)], "params": [(model.flat().astype(np.float64) * seen).tobytes()]})
 
     return run
 
@@ -304,21 +353,19 @@ def _sum_models(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"weight": [weight], "params": [total.tobytes()]})
 
 
-def train(docs: DataFrame, shared, start: Gru, rounds: int = ROUNDS) -> Gru:
-    """Averages of what each task's documents teach, over all tasks."""
-    model = start
+def train(docs: DataFrame, shared, start: Gru, tokens: int, part: int = PART) -> Gru:
+    """The average of what each group of documents teaches. Groups are chosen by hashes of the rows, about `part` tokens
+    in each, so that the model depends on the documents alone, not on how the table is cut."""
+    groups = max(1, -(-tokens // part))
     kind = "weight double, params binary"
-    for turn in range(rounds):
-        got = docs.select("text").mapInPandas(_trainer(shared, model.flat(), turn), kind)
-        tasks = docs.rdd.getNumPartitions()
-        while tasks > 16:
-            tasks = math.isqrt(tasks)
-            got = got.repartition(tasks).mapInPandas(_sum_models, kind)
-        rows = got.collect()  # at most 16 rows, each as large as the model, or a task's own where there are few tasks
-        weight = sum(r["weight"] for r in rows)
-        if weight:
-            model = Gru.of_flat(sum(np.frombuffer(r["params"], np.float64) for r in rows) / weight)
-    return model
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group"))
+    got = rows.groupBy("group").applyInPandas(_trainer(shared, start.flat()), kind)
+    while groups > 16:
+        groups = math.isqrt(groups)
+        got = got.repartition(groups).mapInPandas(_sum_models, kind)
+    rows = got.collect()  # at most 16 rows, each as large as the model
+    weight = sum(r["weight"] for r in rows)
+    return Gru.of_flat(sum(np.frombuffer(r["params"], np.float64) for r in rows) / weight) if weight else start
 
 
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, gru double, others long, other_logs double, tail array<binary>, tail_n array<int>"
@@ -326,14 +373,14 @@ SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, lo
 
 def _scorer(shared, flat: np.ndarray, end_count: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, counts = _head(shared)
+        index, counts, _ = _head(shared)
         logs, model = np.log10(np.append(counts, 0).astype(np.float64) + 1), Gru.of_flat(flat)  # the last is for -1
         row = TaskContext.get().partitionId() << 33
-        for b in batches:
-            ids, rest, get = [], [], index.get
+        for b in (x.iloc[lo : lo + TOGETHER] for x in batches for lo in range(0, len(x), TOGETHER)):
+            ids, rest = [], []
             for text in b["text"]:
                 words = _tokens(text)
-                numbers = np.array([get(w, -1) for w in words], np.int64)
+                numbers = index.of(words)
                 tail = Counter(words[i] for i in np.flatnonzero(numbers < 0)) if len(numbers) else Counter()
                 lm, inside = _lm_ids(numbers), numbers >= 0
                 ids.append(np.append(lm, STOP))
@@ -363,7 +410,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     others, kinds = n - end - int(inside.sum()), v - (end > 0) - len(inside)
     start = np.zeros(VOCABULARY)
     start[OTHER], start[STOP], start[2 : 2 + len(inside)] = others, end, inside
-    model = train(learn, shared, Gru.start(start))
+    model = train(learn, shared, Gru.start(start), n or 0)
     scored = written(docs.mapInPandas(_scorer(shared, model.flat(), end), SCORED), "lm-scored")
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("row", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("times"))
     # A word that is not in the head is rare, so its key is no hot one.

@@ -83,17 +83,49 @@ def test_every_token_is_trained_on():
 
     texts = [PROSE[0], LONG, "", None, *[PROSE[1] + " " + PROSE[2]] * 100, "a"]
     flat = lm.Gru.start(np.ones(lm.VOCABULARY)).flat()
-    for turn in range(lm.ROUNDS):
-        (got,) = lm._trainer(Shared, flat, turn)(iter([pd.DataFrame({"text": texts[:3]}), pd.DataFrame({"text": texts[3:]})]))
-        assert got.weight[0] == sum(len((t or "").split()) + 1 for t in texts)
+    table = lambda x: pd.DataFrame({"doc_id": range(len(x)), "text": x, "group": 0})
+    got = lm._trainer(Shared, flat)(table(texts))
+    assert got.weight[0] == sum(len((t or "").split()) + 1 for t in texts)
     # What only the ends of texts hold is learned too.
-    tail = pd.DataFrame({"text": [" ".join([VOCABULARY[0]] * 300 + [VOCABULARY[1], VOCABULARY[2]] * 50)] * 96})
-    (got,) = lm._trainer(Shared, flat, 0)(iter([tail]))
+    tail = table([" ".join([VOCABULARY[0]] * 300 + [VOCABULARY[1], VOCABULARY[2]] * 50)] * 400)
+    got = lm._trainer(Shared, flat)(tail)
     ids = np.array([3, 4] * 50 + [lm.STOP])
     model = lm.Gru.of_flat(np.frombuffer(got.params[0]) / got.weight[0])
     assert model.score([ids])[0] > lm.Gru.of_flat(flat).score([ids])[0] + 20
 
 
+def test_gradients_by_differences():
+    rng = np.random.default_rng(0)
+    model = lm.Gru.start(np.ones(lm.VOCABULARY))
+    x, y = rng.integers(0, 40, (6, 5)), rng.integers(0, 40, (6, 5))
+    x[3, 2], valid, h = lm.STOP, np.arange(6)[:, None] < np.array([6, 6, 5, 4, 6]), rng.normal(size=(5, lm.STATE)).astype(np.float32)
+
+    def loss():
+        state, total = h, 0.0
+        for t in range(6):
+            state = model.step(model.inputs()[x[t]], np.where((x[t] == lm.STOP)[:, None], 0, state))[-1]
+            total -= model.log_probs(state, y[t])[valid[t]].sum()
+        return total / valid.sum()
+
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    g, _ = model._gradients(x, y, valid, h)
+    norm = {}
+    for k, at in (("wh", (1, 2)), ("wh", (3, 40)), ("wx", (2, 20)), ("e", (7, 3)), ("b", (5,)), ("c", (0, 1)), ("wb", (9,)), ("w", (11, 4))):
+        model.p[k][at] += 1e-5
+        up = loss()
+        model.p[k][at] -= 2e-5
+        norm[k, at] = (up - loss()) / 2e-5, g[k][at]
+        model.p[k][at] += 1e-5
+    scale = norm["wb", (9,)][1] / norm["wb", (9,)][0]  # gradients are clipped together
+    assert all(abs(a * scale - b) < 2e-3 * max(1e-2, abs(b)) for a, b in norm.values()), norm
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = table(spark).select("doc_id", "text")
+    one, more = ({r.doc_id: r.score for r in lm.lm_scores(docs.repartition(n)).collect()} for n in (1, 5))
+    assert all(abs(one[k] - more[k]) < 1e-6 * max(1, abs(one[k])) for k in one)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
