@@ -358,5 +358,35 @@ def test_mix_meets_its_targets(spark):
         x[0], x[2] = x[0] + r.taken, x[2] + r.size
     assert all(x[0] == int(x[1]) for x in by.values())
     assert abs(sum(x[1] for x in by.values()) - 1.5 * sum(x[2] for x in by.values())) < 1e-6
-    mixed = mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=32)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mixed_documents(docs, block=32)
     assert mixed.select(F.sum(F.size(F.split("text", " ")))).first()[0] == sum(r.taken for r in got)
+    assert sum(len(r.copies) for r in got) == mixed.count() and all(len(r.copies) == -(-r.taken // r.size) for r in got)
+    # Any stretch from the beginning holds the sources close to their targets, give or take some blocks.
+    share = {s: x[0] / sum(y[0] for y in by.values()) for s, x in by.items()}
+    seen, words = dict.fromkeys(by, 0), 0
+    for r in mixed.collect():
+        n = len(r.text.split())
+        seen[r.source], words = seen[r.source] + n, words + n
+        assert all(abs(seen[s] - share[s] * words) <= 6 * (32 + 50) for s in by), (seen, words)
+
+
+def test_schedule_is_of_low_discrepancy(spark):
+    targets = spark.createDataFrame([("a", 50_000, 60_000.0), ("b", 90_000, 21_000.0), ("c", 3_000, 6_000.0)], "s string, source_size long, target double")
+    rows = sorted(mixing.slots(targets, 32).collect(), key=lambda r: r.slot)
+    total = {s: sum(r.words for r in rows if r.s == s) for s in "abc"}
+    assert total == {"a": 60_000, "b": 21_000, "c": 6_000} and len({r.slot for r in rows}) == len(rows)
+    count, seen = {s: sum(r.s == s for r in rows) for s in "abc"}, dict.fromkeys("abc", 0)
+    for i, r in enumerate(rows):
+        assert r.rank == seen[r.s]
+        seen[r.s] += 1
+        assert all(abs(seen[s] - count[s] * (i + 1) / len(rows)) <= 12 for s in "abc")
+
+
+def test_mix_of_equal_rows_keeps_their_sources(spark):
+    rows = [(1, "w " * 9, s) for s in "aab"] + [(i, "v " * 9, "a") for i in range(2, 30)] + [(None, None, None), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    took, mixed = mixing.mix_sources(docs, block=8).collect(), mixing.mixed_documents(docs, block=8).collect()
+    words = lambda x: sum(len(r.text.split()) for r in x)
+    for s in ("a", "b", None):
+        assert sum(r.taken for r in took if r.source == s) == words([r for r in mixed if r.source == s])
