@@ -1,19 +1,23 @@
 """Operator 9: license scans as an exact set-similarity join.
 
-Text blocks (lines, and for long templates paragraphs) and license templates are sets
-of words. A block meets a template if it holds at least CONTAINMENT of the template's
-words. Words are ordered by how many documents hold them, rare ones first: to meet a
-template of n words with a overlap, a block must hold one of the template's n - a + 1
-rarest words (prefix), have a words at all (length), and the words from the first
-common one on must be enough in both (position). Blocks that pass are compared whole.
+Text blocks (WINDOW words, one block every STEP words, so that any STEP words stand whole
+in some block, however a text is cut into lines) and license templates are sets of words. A
+block meets a template if it holds at least CONTAINMENT of the template's words and, word
+by word, the phrase that names the license: without it a notice of another license, or
+prose about licenses, shares most words. Words are ordered by how many documents hold them,
+rare ones first: to meet a template of n words with a overlap, a block must hold one of the
+template's n - a + 1 rarest words (prefix), have a words at all (length), and the words
+from the first common one on must be enough in both (position). Blocks that pass are
+compared whole.
 
 Only DataFrame operations. The templates are a fixed list, so their side of the join
 is broadcast at a known size; a document has one row but for its few blocks with a
 prefix word, so a hot source or word gathers nowhere.
 
 Defined cases: null text is empty; a document without words has no places (null
-first_word, last_word), no labels and score 0; repeated rows are separate documents;
-further columns are ignored; an empty table gives an empty result.
+first_word, last_word), no labels and score 0; a long text has as many blocks as it takes;
+of templates that tie, all labels are given; repeated rows are separate documents; further
+columns, whatever their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,20 +36,26 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: A block must hold this share of a template's words.
 CONTAINMENT = 0.8
-#: The method's templates: public license notices. A "line" template is sought in single
-#: lines, a "paragraph" one in paragraphs (lines up to a blank line).
+#: Words of a block, and from one block's begin to the next; no template is longer than a step.
+WINDOW, STEP = 64, 32
+#: Fixed values, the method's templates: wording of public license notices, as label, naming phrase, words.
 TEMPLATES = (
-    ("apache-2.0", "line", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "paragraph", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("mit", "line", "released under the mit license"),
-    ("mit", "line", "licensed under the mit license"),
-    ("mit", "paragraph", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
-    ("gpl", "line", "licensed under the gnu general public license version 3"),
-    ("gpl", "paragraph", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("cc-by-nc", "line", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "line", "licensed under cc by sa 4 0"),
-    ("bsd", "paragraph", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "paragraph", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("apache-2.0", "apache license", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "apache org licenses", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("mit", "mit license", "released under the mit license"),
+    ("mit", "mit license", "licensed under the mit license"),
+    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
+    ("gpl", "general public license", "licensed under the gnu general public license version 3"),
+    ("gpl", "general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("cc-by", "cc by 4 0", "licensed under cc by 4 0"),
+    ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "creative commons attribution 4 0", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "attribution noncommercial", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "attribution sharealike", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("bsd", "bsd license", "licensed under the bsd license"),
+    ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 
 
@@ -76,14 +86,13 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
     spark = docs.sparkSession
     counts = document_counts(docs, _vocabulary(templates))
     rank = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
-    sets, prefixes = [], []
-    for t, (label, unit, text) in enumerate(templates):
+    prefixes: list = []
+    for label, phrase, text in templates:
         ordered = sorted(set(text.split()), key=rank.get)
         need = max(1, math.ceil(containment * len(ordered) - 1e-9))
-        sets.append((t, label, unit, ordered, need))
-        prefixes += [(w, unit, t, p, len(ordered), need, label, ordered) for p, w in enumerate(ordered[: len(ordered) - need + 1])]
-    table = spark.createDataFrame(prefixes, "token string, unit string, template int, p int, size int, need int, label string, tokens array<string>")
-    seeds = {u: sorted({x[0] for x in prefixes if x[1] == u}) for u in ("line", "paragraph")}
+        prefixes += [(w, p, len(ordered), need, label, f" {phrase} ", ordered) for p, w in enumerate(ordered[: len(ordered) - need + 1])]
+    table = spark.createDataFrame(prefixes, "token string, p int, size int, need int, label string, phrase string, wanted array<string>")
+    seeds = sorted({x[0] for x in prefixes})
     ranks = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), lowered(F.col("text")).alias("low"))
@@ -102,25 +111,23 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CON
     found = [places(p) for p in PHRASES]
     rows = rows.withColumn("places", F.array(*found))
 
-    # Blocks with a prefix word of a template of their unit.
-    def blocks(unit: str, cut: Column) -> Column:
-        seed = F.array(*map(F.lit, seeds[unit])) if seeds[unit] else F.array().cast("array<string>")
-        sets_of = lambda parts: F.filter(F.transform(parts, lambda x: F.array_distinct(license_words(x))), lambda x: F.arrays_overlap(x, seed))
-        return F.transform(sets_of(cut), lambda x: F.struct(F.lit(unit).alias("unit"), x.alias("tokens")))
+    # Blocks with a prefix word of a template.
+    seed = F.array(*map(F.lit, seeds)) if seeds else F.array().cast("array<string>")
 
-    every = F.array(*map(F.lit, sorted({*seeds["line"], *seeds["paragraph"]})))
-    cut = F.concat(blocks("line", F.split("low", "\n", -1)), blocks("paragraph", F.split("low", r"\n[ \t\r]*\n", -1)))
-    none = F.array().cast("array<struct<unit:string,tokens:array<string>>>")
-    rows = rows.withColumn("blocks", F.when(F.arrays_overlap("w", every), cut).otherwise(none))
+    def blocks(w: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - STEP) / STEP) - 1, F.lit(0)).cast("int"))
+        return F.filter(F.transform(begins, lambda i: F.slice(w, i * STEP + 1, WINDOW)), lambda x: F.arrays_overlap(x, seed))
+
+    rows = rows.withColumn("blocks", F.when(F.arrays_overlap("w", seed), let(F.col("w"), blocks)).otherwise(F.array().cast("array<array<string>>")))
     rows = rows.select("doc_id", "_row", "n_words", "places", F.posexplode_outer("blocks").alias("b", "block"))
 
     # Tokens of a block in the global order; words of no template come last and need no order among themselves.
-    by_rank = lambda x: F.transform(F.array_sort(F.transform(x, lambda t: F.struct(F.coalesce(F.try_element_at(ranks, t), F.lit(1 << 30)).alias("r"), t.alias("t")))), lambda y: y.t)
-    rows = rows.withColumn("tokens", F.when(F.col("block").isNotNull(), by_rank(F.col("block.tokens")))).withColumn("unit", F.col("block.unit")).drop("block")
-    seen = rows.select("*", F.posexplode_outer("tokens").alias("q", "token")).filter(F.col("token").isNull() | (F.col("q") == 0) | F.col("token").isin(*sorted({x[0] for x in prefixes})))
-    hits = seen.join(F.broadcast(table.withColumnRenamed("tokens", "wanted")), ["token", "unit"], "left")
-    possible = (F.size("tokens") >= F.col("need")) & (1 + F.least(F.col("size") - F.col("p"), F.size("tokens") - F.col("q")) - 1 >= F.col("need"))
-    overlap = F.when(possible, F.size(F.array_intersect("wanted", "tokens")))
+    by_rank = lambda x: F.transform(F.array_sort(F.transform(F.array_distinct(x), lambda t: F.struct(F.coalesce(F.try_element_at(ranks, t), F.lit(1 << 30)).alias("r"), t.alias("t")))), lambda y: y.t)
+    rows = rows.withColumn("tokens", F.when(F.col("block").isNotNull(), by_rank(F.col("block")))).withColumn("said", F.concat(F.lit(" "), F.array_join("block", " "), F.lit(" "))).drop("block")
+    seen = rows.select("*", F.posexplode_outer("tokens").alias("q", "token")).filter(F.col("token").isNull() | (F.col("q") == 0) | F.col("token").isin(*seeds))
+    hits = seen.join(F.broadcast(table), "token", "left")
+    possible = (F.size("tokens") >= F.col("need")) & (F.least(F.col("size") - F.col("p"), F.size("tokens") - F.col("q")) >= F.col("need"))
+    overlap = F.when(possible & F.contains("said", "phrase"), F.size(F.array_intersect("wanted", "tokens")))
     met = F.col("overlap") >= F.col("need")
     hits = hits.withColumn("overlap", overlap).withColumn("label", F.when(met, F.col("label"))).withColumn("share", F.when(met, F.col("overlap") / F.col("size")))
     one = hits.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("places").alias("places"), F.collect_set("label").alias("more"), F.max("share").alias("share"))
@@ -139,7 +146,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     words_of = lambda x: f"list_filter(string_split_regex({x}, '{SEPARATOR}+'), lambda y: y <> '')"
-    values = ", ".join(f"('{label}', '{unit}', ['{chr(39) + chr(44) + chr(39)}'])".replace("['','']", str(sorted(set(t.split())))) for label, unit, t in TEMPLATES)
+    values = ", ".join(f"('{label}', ' {phrase} ', {sorted(set(text.split()))})" for label, phrase, text in TEMPLATES)
     phrase = " UNION ALL ".join(
         f"SELECT k, '{label}' AS label, i - 1 AS place FROM p WHERE w[i] = '{parts[0]}' AND " + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(parts) if j) for parts, label in ((p.split(), la) for p, la in PHRASES.items())
     )
@@ -149,10 +156,10 @@ x AS (SELECT k, doc_id, low, {words_of('low')} AS w FROM d),
 p AS (SELECT k, w, unnest(range(1, len(w) + 1)) AS i FROM x WHERE list_has_any(w, {sorted({p.split()[0] for p in PHRASES})})),
 b AS ({phrase}),
 pl AS (SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY k),
-t(label, unit, tokens) AS (VALUES {values}),
-l AS (SELECT k, 'line' AS unit, unnest(string_split(low, chr(10))) AS s FROM d UNION ALL SELECT k, 'paragraph', unnest(string_split_regex(low, '\\n[ \\t\\r]*\\n')) FROM d),
-m AS (SELECT k, label, len(list_intersect({words_of('s')}, tokens))::DOUBLE / len(tokens) AS share FROM l JOIN t USING (unit)
-      WHERE len(list_intersect({words_of('s')}, tokens)) >= ceil({CONTAINMENT} * len(tokens) - 1e-9)),
+t(label, phrase, tokens) AS (VALUES {values}),
+l AS (SELECT k, unnest([w[i * {STEP} + 1 : i * {STEP} + {WINDOW}] for i in range(greatest(1, ceil((len(w) - {STEP}) / {STEP}::DOUBLE))::BIGINT)]) AS b FROM x),
+m AS (SELECT k, label, len(list_intersect(b, tokens))::DOUBLE / len(tokens) AS share FROM l JOIN t ON contains(' ' || array_to_string(b, ' ') || ' ', phrase)
+      WHERE len(list_intersect(b, tokens)) >= ceil({CONTAINMENT} * len(tokens) - 1e-9)),
 u AS (SELECT k, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS share FROM (SELECT k, label, share FROM m UNION ALL SELECT k, label, 1.0 FROM b) GROUP BY k)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(share, 0.0)::DOUBLE AS score

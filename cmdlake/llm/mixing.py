@@ -186,7 +186,7 @@ l AS (SELECT *, (want - coalesce(sum({CAP}::DOUBLE * source_size) OVER (ORDER BY
              / sum(weight) OVER (ORDER BY full_at, s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
 g AS (SELECT s, source_size, least({CAP}::DOUBLE * source_size, coalesce(weight * max(CASE WHEN level <= full_at THEN level END) OVER (), {CAP}::DOUBLE * source_size)) AS target FROM l),
 p AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY s ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM d JOIN g USING (s))
+      FROM d JOIN g USING (s)),
 n AS (SELECT s, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE floor(floor(target) / source_size) * ceil(source_size / {BLOCK})
              + ceil((floor(target) - floor(floor(target) / source_size) * source_size) / {BLOCK}) END)::BIGINT AS need FROM g),
 v AS (SELECT s, unnest(range(((sum(need) OVER (ORDER BY s)) - need)::BIGINT, (sum(need) OVER (ORDER BY s))::BIGINT)) AS v FROM n),

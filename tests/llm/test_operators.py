@@ -348,6 +348,33 @@ def test_licenses_by_hand(spark):
     assert got[2].labels == ["mit"] and got[2].score == 1.0 and got[3].first_word is None and got[3].score == 0
 
 
+#: One line, and the labels that it has: those of the base phrases, and the license it names.
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    "Licensed under the\n  Apache License,\nVersion 2.0": "apache-2.0",
+    "Released under the MIT License.": "mit",
+    "Released under the\nMIT License.": "mit",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    "Licensed under CC BY 4.0.": "cc-by",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+    "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+    "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+    "All rights reserved.": "reserved",
+    "The goods were licensed under the old license.": "",
+    "He was released under the license of the town, and permission was granted free of charge.": "",
+}
+
+
+def test_each_notice_has_its_own_label(spark):
+    prose = " ".join(VOCABULARY[:90])
+    rows = [(n, wrap) for n in NOTICES for wrap in (n, f"{prose} {n} {prose}", f"{LONG} {n}")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: ",".join(r.labels) for r in licenses.scan_licenses(docs).collect()}
+    assert {rows[i]: x for i, x in got.items() if x != NOTICES[rows[i][0]]} == {}
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 50)), None if i % 9 == 0 else "abc"[i % 9 % 3]) for i in range(900)]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=32).collect()
