@@ -20,11 +20,11 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ FOLDS, HELD_OUT, NONE = 4, 2, "und"
 #: Bytes of a window; sizes of the network; the bounds of the training sample.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4, 5), 8
 PER_LANG, WINDOWS = 600, 3
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class ByteCnn:
@@ -121,7 +121,7 @@ def train(docs: DataFrame, *, per_lang: int = PER_LANG, windows: int = WINDOWS,
     # Hashes of ids are spread evenly, so a bound by each language's count keeps about per_lang documents, with no window over a language.
     bound = F.create_map(*[x for k, n in held.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, (1 << 64) * per_lang // n - (1 << 63))))])
     some = rows.filter(F.col("lang").isin(*langs) & (F.xxhash64("doc_id", F.lit(seed)) <= bound[F.col("lang")]))
-    got = some.select("lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"), cut.alias("cut")).limit(2 * per_lang * len(langs)).collect()
+    got = some.select("lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"), cut.alias("cut")).orderBy("h", "lang", "cut").limit(2 * per_lang * len(langs)).collect()  # the bound holds even where ids repeat
     got.sort(key=lambda r: (r["lang"], r["h"], r["cut"]))
     number = {lang: i for i, lang in enumerate(langs)}
     x = [(windows_of(t.encode("utf-8", "replace")[:WINDOW])[0], number[r["lang"]]) for r in got for t in r["cut"] if t]

@@ -7,12 +7,14 @@ the documents in the intersections of its query's posting lists; only they are r
 with the rule's expression. A rule whose expression has no mandatory trigram (hex
 digits) reads every document.
 
-Texts are dealt out once, by a hash of the row; postings, their intersection and
-the reading of candidates then need no further exchange, and no key is hotter than a
-row. Only DataFrame operations; everything about a row stays in its row.
+Postings hold a hash of the row and a trigram, no text; texts are shuffled once, when the
+candidates of a row join it. No key is hotter than a row and its copies, and Spark may
+split those. Only DataFrame operations; everything about a row stays in its row.
 
 Defined cases: null text is the empty text; rows with the same id and text are
-scanned as one key and each returned; further columns stay; an empty table gives an
+scanned as one key and each returned; a long text is one row, with as many spans as it
+has; spans that begin together are told apart by the rules' order; further columns stay,
+whatever their names (but one named found gives way to the spans); an empty table gives an
 empty result. Offsets are code points, ends exclusive.
 """
 
@@ -131,28 +133,28 @@ def _least(conjunctions: list[frozenset[str]]) -> list[frozenset[str]]:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _text and _row (a hash of id and text), dealt out by _row."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"_text": text, "_row": F.xxhash64("doc_id", text)}).repartition("_row")
+    """row (all columns of docs), text, key (a hash of id and text)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct(*docs.columns).alias("row"), text.alias("text"), F.xxhash64("doc_id", text).alias("key"))
 
 
 def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index: trigram, _row for each of the trigrams in each document of keyed()."""
-    held = let(F.lower("_text"), lambda text: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(text, t)))
-    return rows.select("_row", F.explode(held).alias("trigram"))
+    """The inverted index: trigram, key for each of the trigrams in each document of keyed()."""
+    held = let(F.lower("text"), lambda text: F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(text, t)))
+    return rows.select("key", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
-    """_row, kinds: the rules whose query the document's postings satisfy."""
+    """key, kinds: the rules whose query the document's postings satisfy."""
     wants: dict[str, list] = {}
     for kind, query in queries.items():
         for i, trigrams in enumerate(query):
             for t in trigrams:
                 wants.setdefault(t, []).append(F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("conjunction"), F.lit(len(trigrams)).alias("need")))
     table = F.create_map(*itertools.chain.from_iterable((F.lit(t), F.array(*x)) for t, x in wants.items()))
-    rows = index.select("_row", "trigram", F.explode(table[F.col("trigram")]).alias("x")).select("_row", "trigram", "x.*")
-    met = rows.distinct().groupBy("_row", "kind", "conjunction", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
-    return met.groupBy("_row").agg(F.collect_set("kind").alias("kinds"))
+    rows = index.select("key", "trigram", F.explode(table[F.col("trigram")]).alias("x")).select("key", "trigram", "x.*")
+    met = rows.distinct().groupBy("key", "kind", "conjunction", "need").agg(F.count(F.lit(1)).alias("n")).filter("n = need")
+    return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 #: Lengths summed at one level of running sums.
@@ -197,21 +199,25 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
 NO_SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with found: array of (start, order, kind, end), by start, then the rules' order."""
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """row, text, found of each document."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex)) is not None}
     rows = keyed(docs)
     index = postings(rows, sorted({t for q in queries.values() for x in q for t in x}))
-    rows = rows.join(candidates(index, queries), "_row", "left")
+    rows = rows.join(candidates(index, queries), "key", "left")
 
     def of(i: int, rule: Rule) -> Column:
         # Of hex digits only long runs count, and those are whole matches: the shorter ones need not be listed.
         full = rule if rule.kind in queries or rule.group else Rule(rule.kind, rule.regex[:-1] + f"{{{rule.least},}}+" if rule.regex.endswith("]+") else rule.regex, rule.least)
-        reads = F.array_contains("kinds", rule.kind) if rule.kind in queries else F.col("_text").rlike(full.regex)
-        return F.when(F.coalesce(reads, F.lit(False)), spans(F.col("_text"), full, i)).otherwise(F.array().cast(NO_SPANS))
+        reads = F.array_contains("kinds", rule.kind) if rule.kind in queries else F.col("text").rlike(full.regex)
+        return F.when(F.coalesce(reads, F.lit(False)), spans(F.col("text"), full, i)).otherwise(F.array().cast(NO_SPANS))
+
+    return rows.select("row", "text", F.array_sort(F.concat(*(of(i, r) for i, r in enumerate(rules)))).alias("found"))
 
-    rows = rows.withColumn("found", F.array_sort(F.concat(*(of(i, r) for i, r in enumerate(rules)))))
-    return rows.drop("_text", "_row", "kinds")
+
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with found: array of (start, order, kind, end), by start, then the rules' order."""
+    return _scanned(docs, rules).select(*(F.col("row")[c].alias(c) for c in docs.columns if c != "found"), "found")
 
 
 def _listed(found: Column) -> Column:
@@ -220,9 +226,7 @@ def _listed(found: Column) -> Column:
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span of the text replaced by mark; overlapping spans by one mark."""
-    columns = docs.columns
-    rows = scan_secrets(docs, rules)
-    text = F.col("text")
+    rows, text = _scanned(docs, rules), F.col("text")
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -230,10 +234,11 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SEC
         return F.struct(F.greatest(a["at"], x.end).alias("at"), F.when(x.start >= a["at"], F.concat(a["out"], F.array(gap))).otherwise(a["out"]).alias("out"))
 
     done = F.aggregate("found", zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    rows = rows.withColumn("text", F.when(F.size("found") > 0, done).otherwise(text))
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*columns)
+    rows = rows.select("row", F.when(F.size("found") > 0, done).alias("text"))  # null where there is nothing to hide
+    new = {"text": F.coalesce(text, F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("text").cast("long"), F.col("row")["n_chars"])
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -49,15 +49,17 @@ def _put(uri: str, name: str, chunks) -> None:
     where.move(mine, f"{path}/{name}")
 
 
-def _mapped(uri: str, name: str, dtype) -> np.ndarray:
-    """A file as an array: memory-mapped where it is local, else read."""
+def _slices(uri: str, name: str, dtype):
+    """A file's number of elements, and a function that gives those from a to b: of a memory map where the file is
+    local, else of a read of just that stretch."""
     where, path = _fs(f"{uri}/{name}")
-    if not where.get_file_info(path).size:
-        return np.zeros(0, dtype)
-    if where.type_name == "local":
-        return np.memmap(path, dtype, "r")
-    with where.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+    size = np.dtype(dtype).itemsize
+    n = where.get_file_info(path).size // size
+    if n and where.type_name == "local":
+        held = np.memmap(path, dtype, "r")
+        return n, lambda a, b: held[a:b]
+    f = where.open_input_file(path)
+    return n, lambda a, b: np.frombuffer(f.read_at((b - a) * size, a * size), dtype)
 
 
 def _writer(uri: str, tokenizer: str, cut: str, end: int):
@@ -91,7 +93,7 @@ def _writer(uri: str, tokenizer: str, cut: str, end: int):
 def write_tokens(docs: DataFrame, uri: str, *, tokenizer: str, cut: str = "prefix", end: int = END) -> dict:
     """Writes docs (doc_id, text) as token files below uri; returns the manifest."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     parts = rows.mapInPandas(_writer(uri, tokenizer, cut, end), "part int, docs long, tokens long, width int").collect()  # a row a file; sorting in Spark would encode all texts twice
     base, listed = 0, []
     for p in sorted(parts, key=lambda p: p["part"]):
@@ -106,12 +108,13 @@ def _reader(uri: str):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p in b.itertuples(index=False):
-                docs = _mapped(uri, f"part-{p.part:06d}.docs", DOCS)
-                ids = _mapped(uri, f"part-{p.part:06d}.ids", np.dtype(f"<u{p.width}"))
-                edges = np.append(docs["start"], len(ids)).astype(np.int64)
-                for lo in range(0, len(docs), 2048):
-                    some = docs[lo : lo + 2048]
-                    each = [ids[edges[i] : edges[i + 1]] for i in range(lo, lo + len(some))]
+                n, docs = _slices(uri, f"part-{p.part:06d}.docs", DOCS)
+                end, ids = _slices(uri, f"part-{p.part:06d}.ids", np.dtype(f"<u{p.width}"))
+                for lo in range(0, n, 2048):
+                    some = docs(lo, min(n, lo + 2048))
+                    after = docs(lo + len(some), lo + len(some) + 1)["start"][0] if lo + len(some) < n else end
+                    edges = np.append(some["start"], after).astype(np.int64)
+                    each = [ids(a, b) for a, b in zip(edges, edges[1:])]
                     yield pd.DataFrame(
                         {
                             "doc_id": pd.array(np.where(some["null"] == 1, None, some["doc_id"]), dtype="Int64"), "start": p.base + some["start"].astype(np.int64),

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import forget, written
 
 #: Fixed values of the contract.
 K, SCALE, EVERY = 10, 1024.0, 100
@@ -118,9 +118,11 @@ def _tiles(k: int):
 
 def top_k(table: DataFrame, *, k: int = K, every: int = EVERY, shard: int = SHARD, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products with other rows."""
-    rows = integer_vectors(table)
+    rows = written(integer_vectors(table), "topk-rows")  # once: the numbers of rows must be the same wherever they are read
     shards = written(rows.mapInPandas(_pack(shard), PACKED).withColumn("part", F.monotonically_increasing_id()), "topk-shards")
-    asks = written(rows.filter(F.col("vec_id") % every == 0).coalesce(8).mapInPandas(_pack(queries), PACKED), "topk-queries")
+    asked = rows.filter(F.col("vec_id") % every == 0)
+    asks = written(asked.repartition(max(1, -(-asked.count() // queries))).mapInPandas(_pack(queries), PACKED), "topk-queries")
+    forget(rows)
     # Shards fall into groups; every query block is sent to every group of its dimension, never to single rows.
     n = shards.count()
     groups = max(1, -(-n // GROUP))
@@ -131,10 +133,10 @@ def top_k(table: DataFrame, *, k: int = K, every: int = EVERY, shard: int = SHAR
     item = F.struct((-F.col("score")).alias("s"), "none", "vec_id")
     best_of = F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k)
     out = lists.groupBy("query", "query_id", F.spark_partition_id().alias("at")).agg(F.slice(F.array_sort(F.collect_list(item)), 1, k).alias("top"))
-    parts = groups
+    parts = max(groups, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a list of a query comes from a task, numbered below this
     while parts > FAN:
         parts = -(-parts // FAN)
-        out = out.groupBy("query", "query_id", F.pmod(F.xxhash64("at"), F.lit(parts)).cast("int").alias("at")).agg(best_of.alias("top"))
+        out = out.groupBy("query", "query_id", F.floor(F.col("at") / FAN).cast("int").alias("at")).agg(best_of.alias("top"))
     out = out.groupBy("query", "query_id").agg(best_of.alias("top"))
     out = out.select("query_id", F.posexplode("top").alias("i", "x"))
     return out.select("query_id", (F.col("i") + 1).alias("rank"), F.when(F.col("x.none") == 0, F.col("x.vec_id")).alias("vec_id"), (-F.col("x.s")).alias("score"))

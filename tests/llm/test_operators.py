@@ -417,3 +417,81 @@ def test_mix_of_equal_rows_keeps_their_sources(spark):
     words = lambda x: sum(len(r.text.split()) for r in x)
     for s in ("a", "b", None):
         assert sum(r.taken for r in took if r.source == s) == words([r for r in mixed if r.source == s])
+
+
+#: Names that operators use inside; as columns of a user they change nothing.
+INNER = "row key text_key kinds found _row _text _words words size taken target s h p base block slot copies copy place nth number of id cut left n n_words rejected_by class_id class_key doc bands bag root".split()
+KEEPING = {
+    "quality": lambda df: df.filter(quality.rejection(df).isNull()), "dedup": dedup.deduplicated, "secrets": secrets.redacted, "mixing": mixing.mixed_documents,
+}
+
+
+@pytest.mark.parametrize("name", KEEPING)
+def test_users_columns_stay_whatever_their_names(spark, name):
+    docs = spark.createDataFrame([(i, t, "s0", -1, *(f"{c}{i}" for c in INNER)) for i, t in enumerate([PROSE[0] + " " + SECRET, PROSE[1], PROSE[2], PROSE[3]])], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} string" for c in INNER))
+    got = KEEPING[name](docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert {r.doc_id for r in rows} >= {1, 2}
+    assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in INNER)
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_clashing_names_change_no_result(spark, name):
+    plain = spark.createDataFrame([(i, t, "en", "s0") for i, t in enumerate(PROSE)], "doc_id long, text string, lang string, source string")
+    clash = plain.select("*", *(F.lit("x").alias(c) for c in INNER if c not in ("rejected_by", "found")))
+    one, other = RUNS[name](plain), RUNS[name](clash)
+    columns = [c for c in one.columns if c in other.columns and c not in INNER] if name in ("quality", "secrets") else one.columns
+    assert sorted(map(str, one.select(*columns).collect())) == sorted(map(str, other.select(*columns).collect()))
+
+
+def test_numbers_are_no_letters(spark):
+    model = langid.ByteCnn(["en", "de"])
+    docs = spark.createDataFrame([(1, "½ ² ① 12"), (2, "½ a"), (3, None), (4, "ǅ"), (5, "漢字")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.held_out) for r in langid.identify(docs, model).collect()}
+    assert got[1][0] == got[3][0] == "und" and "und" not in {got[2][0], got[4][0], got[5][0]}
+    assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, (_, h) in got.items())
+
+
+def test_packed_pieces_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    long_ = " ".join([LONG] * 2)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, long_])], "doc_id long, text string")
+    rows = packing.pack_documents(docs, tokenizer=tokens.tokenizer_path(packing.TOKENIZER), with_ids=True).collect()
+    encode = Tokenizer.from_file(tokens.tokenizer_path(packing.TOKENIZER))
+    encode.encode_special_tokens = True  # as the vocabulary's description has it
+    for i, t in enumerate([*TEXTS, long_]):
+        ids = encode.encode(t or "", add_special_tokens=False).ids + [1]
+        mine = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert [r.piece for r in mine] == list(range(len(mine))) and [r.length for r in mine] == [4096] * (len(ids) // 4096) + [len(ids) % 4096] * (len(ids) % 4096 > 0)
+        for r in mine:
+            part = np.array(ids[r.start : r.start + r.length], "<u4")
+            assert r.start == 4096 * r.piece and bytes(r.ids) == part.tobytes() and r.ids_crc32 == zlib.crc32(part.tobytes())
+
+
+def test_pipeline_by_stages(spark, tmp_path):
+    """Null ids, copies, near copies, junk and secrets: what each stage keeps, by hand."""
+    import corpus_pipeline
+
+    near = PROSE[0].split()
+    near[5] = "other"
+    rows = [(1, PROSE[0]), (2, PROSE[0]), (3, " ".join(near)), (None, PROSE[1] + " " + SECRET), (4, "short"), (5, None), (6, " ".join(["one two three"] * 30)), (7, PROSE[2]), (7, PROSE[3])]
+    docs = spark.createDataFrame([(i, t, "en", "ab"[n % 2], len(t or ""), "x") for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, nth string")
+    docs.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicates", "secret scans", "source mixing", "best-fit packing"]
+    clean = stage["quality rules"](spark, docs, "")
+    assert sorted((r.doc_id or 0, len(r.text)) for r in clean.collect()) == sorted((i or 0, len(t)) for i, t in rows if i not in (4, 5, 6))
+    one = stage["near-duplicates"](spark, clean, "")
+    assert sorted(r.doc_id or 0 for r in one.collect()) == [0, 1, 7, 7] and one.columns == docs.columns
+    hidden = stage["secret scans"](spark, one, "")
+    text = {r.doc_id: r.text for r in hidden.collect()}
+    assert "AKIA" not in text[None] and "[SECRET]" in text[None] and text[1] == PROSE[0]
+    mixed = stage["source mixing"](spark, hidden, "")
+    whole = {r.text for r in hidden.collect()}
+    assert mixed.columns == docs.columns and all(any(w.split()[: len(r.text.split())] == r.text.split() for w in whole) for r in mixed.collect())
+    packed = corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()
+    assert sum(r.piece == 0 for r in packed) == mixed.count() and {r.doc_id for r in packed} <= {None, 1, 7}
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
