@@ -1,6 +1,10 @@
 """A training-data pipeline over documents: quality rules, near-duplicates, secrets,
 source mixing, packing. Each stage takes (spark, docs, sf_dir) and works on all rows
-that the one before it kept; all but the last return the columns of documents."""
+that the one before it kept; all but the last return the columns of documents.
+
+Defined cases: null and empty texts fail the quality rules; ids may be null or repeated, as
+documents are told apart by their texts; of equal rows one stays; long texts are whole
+until they are packed; columns of any name stay up to the mix; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ Docs = DataFrame
 
 def quality_rules(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     """Documents that a base rule or a rule of the cascade rejects go."""
-    return quality.rejected_by(docs).filter("rejected_by is null").drop("rejected_by")
+    return docs.filter(quality.rejection(docs).isNull())
 
 
 def near_duplicates(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
@@ -46,7 +50,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: Alignment and tokenization cannot be said in SQL: tests compare with a brute-force version.
+#: Alignment and tokenization cannot be said in SQL: tests follow a small table through all stages by hand.
 ORACLE_SQL = None
 
 
