@@ -341,14 +341,14 @@ def _components(edges: DataFrame) -> DataFrame:
         kept = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select("b", "m").union(joined.select("a", "m")).toDF("a", "b")
         return kept.filter(F.col("a") != F.col("b")).distinct()
 
-    said, before, now = None, None, written(edges.select("a", "b").filter(F.col("a") != F.col("b")), "stars")
+    now = written(edges.select("a", "b").filter(F.col("a") != F.col("b")), "stars")
     while True:
-        r = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        before, now = now, written(star(star(now, True), False), "stars")
         forget(before)
-        if tuple(r) == said:
+        # Done when it is a forest of stars: a node with an edge down has one, and none up.
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("b", F.lit(0), F.lit(1)))
+        if not ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).filter("down > 1 or (down > 0 and up > 0)").agg(F.count(F.lit(1))).first()[0]:
             break
-        said, before = tuple(r), now
-        now = written(star(star(now, True), False), "stars")
     out = written(now.select(F.col("a").alias("text_key"), F.col("b").alias("root")).union(now.select("b", "b").distinct()), "roots")
     forget(now)
     return out
@@ -378,10 +378,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         return out
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """text_key, leader, ok of the pairs that no round before has compared and no bound rules out."""
+        """text_key, leader, ok of the pairs that no bound rules out."""
         pairs = pairs.filter(F.col("text_key") != F.col("leader")).select(F.least("text_key", "leader").alias("text_key"), F.greatest("text_key", "leader").alias("leader")).distinct()
-        if done:
-            pairs = pairs.join(every().select("text_key", "leader"), ["text_key", "leader"], "left_anti")
         pairs = pairs.join(bags, "text_key").join(bags.select(F.col("text_key").alias("leader"), F.col("n_words").alias("_n"), F.col("bag").alias("other")), "leader")
         most = F.greatest("n_words", "_n")
         pairs = pairs.withColumn("most", most).filter(F.abs(F.col("n_words") - F.col("_n")) <= F.floor(most - similarity * most + 1e-9))
@@ -442,8 +440,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         large = large.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "before", "text_key", "root", "n_words", "bag")
         return pairs.union(large.groupBy("key", "lo", "hi").applyInPandas(_tiled(similarity), "text_key binary, leader binary"))
 
+    left, changed = None, True
     for turn in range(MEETINGS + 2):
-        left = None
         if turn == 0:
             degree = written(members.groupBy("text_key").agg(F.sum("n").alias("degree")), "degrees")
             leaders = members.join(degree, "text_key").groupBy("h").agg(F.max(F.struct("degree", "text_key")).alias("x")).select("h", F.col("x.text_key").alias("leader"))
@@ -451,32 +449,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             open_tables.extend([degree, leaders])
             pairs = members.select("h", "text_key").join(leaders, "h")
         else:
-            left = unresolved()
-            open_tables.append(left)
+            if changed:
+                left = unresolved()
+                open_tables.append(left)
             if not left.limit(1).count():
                 break
             pairs = meetings(left, turn) if turn <= MEETINGS else rest(left)
         got = compared(pairs)
         done.append(got)
-        if got.filter("ok").limit(1).count():
+        changed = turn == 0 or bool(got.filter("ok").limit(1).count())
+        if turn == 0 or changed:
+            # The stars of the rounds before stand for their links.
+            new = got.filter("ok").select(F.col("text_key").alias("a"), F.col("leader").alias("b"))
             links = every().filter("ok")
-            if roots is not None and "written_at" in roots.__dict__:
-                open_tables.append(roots)
-            roots = _components(links.select(F.col("text_key").alias("a"), F.col("leader").alias("b")))
-        elif roots is None:
-            roots = texts.select("text_key", F.col("text_key").alias("root")).limit(0)
-
-    if links is not None:
-        edges = links.select(F.col("text_key").alias("a"), F.col("leader").alias("b"))
-        least = texts.select("text_key", "doc_id")
-        of_root = roots.join(least, "text_key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x")).select("root", F.col("x.doc_id").alias("class_id"), F.col("x.text_key").alias("class_key"))
-        number = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("text_key")).agg(F.count(F.lit(1)).alias("links"))
-        linked = roots.join(written(of_root, "of-root"), "root").join(number, "text_key").select("text_key", "class_id", "class_key", "links")
-        classes = texts.select("text_key", "doc_id", "copies").join(linked, "text_key", "left").select("text_key", "copies", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
-    else:
-        classes = texts.select("text_key", "copies", F.col("doc_id").alias("class_id"), F.col("text_key").alias("class_key"), F.lit(0).cast("long").alias("links"))
+            before, roots = roots, _components(new if roots is None else new.union(roots.select(F.col("text_key"), F.col("root"))))
+            forget(before)
+
+    edges = links.select(F.col("text_key").alias("a"), F.col("leader").alias("b"))
+    least = texts.select("text_key", "doc_id")
+    of_root = roots.join(least, "text_key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("x")).select("root", F.col("x.doc_id").alias("class_id"), F.col("x.text_key").alias("class_key"))
+    number = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("text_key")).agg(F.count(F.lit(1)).alias("links"))
+    of_root = written(of_root, "of-root")
+    linked = roots.join(of_root, "root").join(number, "text_key").select("text_key", "class_id", "class_key", "links")
+    classes = texts.select("text_key", "doc_id", "copies").join(linked, "text_key", "left").select("text_key", "copies", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_key", "text_key").alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = written(classes, "classes")
-    forget(texts, sketches, *open_tables, *done)
+    forget(texts, sketches, roots, of_root, *open_tables, *done)
     return docs.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "class_id", "class_key", "copies", "links")
 
 
