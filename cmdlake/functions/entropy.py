@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,16 +22,27 @@ WHITELIST = (
 PRIOR, PREFIX, NAME, PATH = 0.10, ((0.98, 0.02), (0.12, 0.88)), ((0.90, 0.10), (0.15, 0.85)), ((0.01, 0.99), (0.95, 0.05))
 
 
+def _byte_grams(text: Column, n: int) -> Column:
+    """The n-grams of the text's bytes (UTF-8), two hex digits a byte; none if there are fewer bytes."""
+    return F.transform(F.array(F.hex(text.cast("binary"))), lambda h: F.when(F.length(h) < 2 * n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - n), lambda i: F.substring(h, 2 * i + 1, F.lit(2 * n)))))[0]
+
+
 def ngram_entropy(text: Column, n: int) -> Column:
-    """Bits of entropy of a text's n-grams (0 if it has none): counts come from the sorted n-grams."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    """Bits of entropy of a text's n-grams of bytes (0 if it has none): they are sorted once, and the lengths of the
+    runs of equal ones are summed in one pass."""
 
     def of(g: Column) -> Column:
         total = F.size(g).cast("double")
-        kinds = F.transform(F.array_distinct(g), lambda x: F.size(F.filter(g, lambda y: y == x)).cast("double") / total)
-        return F.aggregate(kinds, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+        bits = lambda run: F.when(run > 0, run / total * F.log2(run / total)).otherwise(F.lit(0.0))
 
-    return F.when(F.length(text) < n, F.lit(0.0)).otherwise(F.transform(F.array(grams), of)[0])
+        def step(a: Column, x: Column) -> Column:
+            same = a["last"] == x
+            return F.struct(x.alias("last"), F.when(same, a["run"] + 1).otherwise(F.lit(1.0)).alias("run"), F.when(same, a["sum"]).otherwise(a["sum"] - bits(a["run"])).alias("sum"))
+
+        zero = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+        return F.aggregate(F.array_sort(g), zero, step, lambda a: a["sum"] - bits(a["run"]))
+
+    return F.when(F.octet_length(text) < n, F.lit(0.0)).otherwise(F.transform(F.array(_byte_grams(text, n)), of)[0])
 
 
 def shannon_entropy(text: Column) -> Column:
@@ -40,46 +50,74 @@ def shannon_entropy(text: Column) -> Column:
 
 
 def conditional_entropy(text: Column) -> Column:
-    """Entropy of a character given the one before: of pairs, less that of first characters."""
-    pairs = F.substring(text, F.lit(1), F.length(text) - 1)
-    return F.when(F.length(text) < 2, F.lit(0.0)).otherwise(F.greatest(ngram_entropy(text, 2) - ngram_entropy(pairs, 1), F.lit(0.0)))
+    """Entropy of a byte given the one before: of pairs, less that of first bytes."""
 
+    def first(g: Column) -> Column:
+        return F.array_join(F.transform(g, lambda x: F.substring(x, 1, 2)), "")
 
-def _bits(items: list) -> float:
-    counts: dict = {}
-    for x in items:
-        counts[x] = counts.get(x, 0) + 1
-    return -sum(c / len(items) * math.log2(c / len(items)) for c in counts.values()) if items else 0.0
+    # The first bytes of all pairs, as a text of their own; unhex gives bytes, whose n-grams are read again.
+    firsts = _entropy_of_hex(F.transform(F.array(_byte_grams(text, 2)), first)[0])
+    return F.when(F.octet_length(text) < 2, F.lit(0.0)).when(text.isNotNull(), F.greatest(ngram_entropy(text, 2) - firsts, F.lit(0.0)))
 
 
-def _pairs_entropy(s: bytes) -> float:
-    return _bits([s[i : i + 2] for i in range(len(s) - 1)])
+def _entropy_of_hex(h: Column) -> Column:
+    return ngram_entropy(F.unhex(h), 1)
 
 
-def _given_entropy(s: bytes) -> float:
-    return max(0.0, _pairs_entropy(s) - _bits(list(s[:-1]))) if len(s) > 1 else 0.0
+def _entropies(codes: np.ndarray) -> np.ndarray:
+    """Bits of entropy of each row's numbers."""
+    ordered = np.sort(codes, axis=1)
+    n = codes.shape[1]
+    out = np.zeros(len(codes))
+    for i, row in enumerate(ordered):
+        runs = np.diff(np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]]))) / n
+        out[i] = -(runs * np.log2(runs)).sum()
+    return out
 
 
-def _shuffled(s: bytes, seed: int) -> bytes:
-    """Fisher-Yates by the linear congruential generator x * 1103515245 + 12345 modulo 2^31."""
-    out, state = bytearray(s), seed
-    for i in range(len(out) - 1, 0, -1):
-        state = (state * 1103515245 + 12345) & 0x7FFFFFFF
-        j = state % (i + 1)
-        out[i], out[j] = out[j], out[i]
-    return bytes(out)
+def _measures(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entropy of pairs, and conditional entropy, of each row of bytes (equal lengths, two or more)."""
+    first = rows[:, :-1].astype(np.int32)
+    pairs = _entropies(first * 256 + rows[:, 1:])
+    return pairs, np.maximum(0.0, pairs - _entropies(first))
+
+
+#: A linear congruential generator, and how many shuffled copies a value is compared with.
+LCG, SHUFFLES = (1103515245, 12345, 0x7FFFFFFF), 5
+
+
+def _places(n: int) -> np.ndarray:
+    """Where each of SHUFFLES Fisher-Yates shuffles takes the bytes of a text of n from: they depend on n alone."""
+    out = np.tile(np.arange(n), (SHUFFLES, 1))
+    for seed in range(SHUFFLES):
+        state, row = seed, out[seed]
+        for i in range(n - 1, 0, -1):
+            state = (state * LCG[0] + LCG[1]) & LCG[2]
+            j = state % (i + 1)
+            row[i], row[j] = row[j], row[i]
+    return out
 
 
-def _ratio(s: bytes, of, shuffles: int) -> float:
-    """Entropy over the upper median of the shuffled texts' (of the text's own, if it is short)."""
-    base = of(s) if len(s) < 12 else sorted(of(_shuffled(s, k)) for k in range(shuffles))[shuffles // 2]
-    return of(s) / base if base else 2.0
+def _ratios(value: bytes, places: dict[int, np.ndarray]) -> tuple[float, float]:
+    """Each measure over the upper median of the shuffled texts' (over the text's own, if it is short)."""
+    s = np.frombuffer(value, np.uint8)
+    if len(s) < 2:
+        return 2.0, 2.0
+    if len(s) not in places:
+        places[len(s)] = _places(len(s))
+    own = [float(m[0]) for m in _measures(s[None])]
+    if len(s) < 12:
+        return tuple(1.0 if x else 2.0 for x in own)  # type: ignore[return-value]
+    base = [float(np.sort(m)[SHUFFLES // 2]) for m in _measures(s[places[len(s)]])]
+    return tuple(x / y if y else 2.0 for x, y in zip(own, base))  # type: ignore[return-value]
 
 
 @F.pandas_udf(T.StructType([T.StructField("pair", T.DoubleType()), T.StructField("given", T.DoubleType())]))
 def permutation_ratios(value: pd.Series) -> pd.DataFrame:
-    """Pair and conditional entropy relative to shuffled copies: only this part of the screen is Python."""
-    rows = [(None, None) if v is None else (_ratio(v.encode(), _pairs_entropy, 5), _ratio(v.encode(), _given_entropy, 5)) for v in value]
+    """Pair and conditional entropy relative to shuffled copies: only this part of the screen is Python. A shuffle depends
+    on the length alone, so its places are made once for each length of a batch."""
+    places: dict[int, np.ndarray] = {}
+    rows = [(None, None) if v is None else _ratios(v.encode(), places) for v in value]
     return pd.DataFrame(rows, columns=["pair", "given"])
 
 
@@ -130,7 +168,8 @@ def posterior_of(shannon: Column, given: Column, pair: Column, prefixed: Column,
 def secret_scores(env: DataFrame) -> DataFrame:
     """env (name, value) with shannon, ratios, evidence flags and posterior; values under 8 bytes score 0."""
     value = F.col("value")
-    rows = env.withColumn("prefix", secret_prefix(value)).withColumn("ratios", permutation_ratios(value))
+    # Values too short to be scored are not sent to Python.
+    rows = env.withColumn("prefix", secret_prefix(value)).withColumn("ratios", permutation_ratios(F.when(F.octet_length(value) >= 8, value)))
     own = F.when(F.col("prefix").isNotNull(), shannon_entropy(F.substring(value, F.length("prefix") + 1, F.length(value))))
     rows = rows.withColumn("shannon", F.when(own > 0, own).otherwise(shannon_entropy(value)))
     named = F.coalesce(F.col("name").rlike("|".join(NAME_PATTERNS)), F.lit(False))

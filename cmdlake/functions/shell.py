@@ -67,7 +67,7 @@ def features_of(text: str) -> int:
         if c == '"':
             double = not double
         elif text.startswith("$((", i) or (two == "((" and not double):
-            bits |= FEATURE_BITS["ARITH"]
+            bits |= FEATURE_BITS["ARITH"] | (FEATURE_BITS["VARS"] if re.match(r"\$\(\([A-Za-z_]", text[i:]) else 0)
         elif two == "$(":
             bits |= FEATURE_BITS["SUBSHELL"] | (FEATURE_BITS["SUBSHELL_FILE"] if re.match(r"\$\(\s*<", text[i:]) else 0)
         elif c == "`":
@@ -110,16 +110,18 @@ def parse_fast(s: str, strict: bool = True, most: int = MOST_SUBCOMMANDS) -> tup
         elif arithmetic and s.startswith("))", i):
             arithmetic, i = arithmetic - 1, i + 2
         elif s[i : i + 2] in ("<(", ">(") and not arithmetic:
+            if ranges:  # the range before it is marked as well
+                ranges[-1] = (*ranges[-1][:3], ranges[-1][3] | FEATURE_BITS["PROCESS_SUB"])
+            kind = kind or TYPE_BITS["SUBSTITUTION"]
             i, last = paired_end(s, i + 1), "w"
         elif not arithmetic and s.startswith("<<", i):
             here = s.startswith("<<<", i)
-            m = re.match(r"<<<\s*(\"[^\"]*\"|'[^']*'|[^\s|;&<>]+)" if here else r"<<-?\s*([\"']?)([A-Za-z0-9_]+)\1", s[i:])
+            # A here-document's range is its operator and delimiter; the lines below are ranges of their own.
+            m = re.match(r"<<<\s*[^\s|;&<>]+" if here else r"<<\s*[^\s;]+", s[i:])
             if not m:
                 return "EPARSE", []
             close(i)
             end = i + m.end()
-            if not here and (body := re.search(rf"\n[\t]*{re.escape(m[2])}(?=\n|\Z)", s[end:])):
-                end += body.end()
             ranges.append((i, end - i, TYPE_BITS["HERESTRING" if here else "HEREDOC"], FEATURE_BITS["HERESTRING" if here else "HEREDOC"]))
             start, kind, i, last = end, 0, end, "w"
         elif not arithmetic and c in "<>":
@@ -193,6 +195,25 @@ _ASSIGN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*=")
 _REDIRECT = re.compile(r"(\d*)(&>>|&>|>>|>&|<&|>\||>|<)(.*)\Z", re.S)
 
 
+def here_bodies(s: str, ranges: list[tuple[int, int, int, int]]) -> tuple[dict[int, str], set[int]]:
+    """Per here-document's range the text of its body, and the ranges that are bodies or ends. The end is the last range
+    below the operator's line that is the delimiter (without its quotes; after <<- tabs before the end do not count)."""
+    bodies: dict[int, str] = {}
+    gone: set[int] = set()
+    for i, (start, length, kind, _) in enumerate(ranges):
+        if kind != TYPE_BITS["HEREDOC"]:
+            continue
+        dash, quote, delimiter = re.fullmatch(r"<<(-?)(['\"]?)(.*)", re.sub(r"^<<\s+", "<<", s[start : start + length]), re.DOTALL).groups()
+        delimiter, line = delimiter[:-1] if quote else delimiter, s.find("\n", start + length)
+        below = [j for j in range(i + 1, len(ranges)) if j not in gone and ranges[j][0] > line >= 0]
+        said = {j: s[ranges[j][0] : sum(ranges[j][:2])] for j in below}
+        end = next((j for j in reversed(below) if (said[j].lstrip("\t") if dash else said[j]) == delimiter), None)
+        if end is not None:
+            bodies[i] = s[min(ranges[j][0] for j in below) : ranges[end][0]]
+            gone |= {j for j in below if j <= end}
+    return bodies, gone
+
+
 def depgraph(s: str, cwd: str = "/", depth: int = 0, parity: bool = False) -> tuple[str | None, list[dict], list[tuple[int, int, str]]]:
     """(error, nodes, edges (from, to, type)). A command has tokens and cwd; a document has kind, path or name and value.
 
@@ -210,11 +231,14 @@ def depgraph(s: str, cwd: str = "/", depth: int = 0, parity: bool = False) -> tu
         nodes.append({"kind": "DOC", "doc_kind": kind, **more})
         return len(nodes) - 1
 
-    for start, length, kind, _ in ranges:
+    bodies, gone = here_bodies(s, ranges)
+    for at, (start, length, kind, _) in enumerate(ranges):
         text = s[start : start + length]
+        if at in gone:
+            continue
         if kind in (TYPE_BITS["HEREDOC"], TYPE_BITS["HERESTRING"]):
             if previous is not None:
-                edges.append((doc("HEREDOC" if kind == TYPE_BITS["HEREDOC"] else "HERESTRING", value=text), previous, "READ"))
+                edges.append((doc("HEREDOC" if kind == TYPE_BITS["HEREDOC"] else "HERESTRING", value=bodies.get(at, text)), previous, "READ"))
             continue
         words, tokens, env, redirects, i = shell_words(text), [], [], [], 0
         while i < len(words):

@@ -21,7 +21,9 @@ COMMANDS = """SELECT o_orderkey AS cmd_id, CASE o_orderkey % 7
  WHEN 5 THEN concat('head -n ', CAST(o_custkey AS STRING), ' notes.txt')
  ELSE concat('cmd', CAST(o_custkey % 300 AS STRING), ' arg') END AS command FROM orders"""
 EVENTS = "SELECT user_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, event_type AS w FROM events"
-ENV = "SELECT c_custkey AS id, concat('VAR_', c_mktsegment) AS name, c_name AS value FROM customer"
+#: Plain values, values of more than ASCII, token-like ones and paths.
+ENV = """SELECT c_custkey AS id, concat(CASE WHEN c_custkey % 3 = 0 THEN 'API_KEY_' ELSE 'VAR_' END, c_mktsegment) AS name,
+ CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN concat('é日', c_name, 'ßé') WHEN 2 THEN concat('sk-', md5(c_name)) ELSE concat('/home/', c_name) END AS value FROM customer"""
 ALLOW = ["git commit #sopt *", "git commit -m *", "cp #path #path", "cp #p /tmp", "docker run --rm #image", "svc1 #path", "svc2 #p", "head -n #n #f", "kill -s #val", "#val arg", "cmd7 arg"]
 DENY = ["kill -s #signal", "cmd13 arg"]
 OTHER = ["git commit -m *", "cp #path #path", "svc3 #path", "head #sopt #n #f"]
@@ -102,7 +104,7 @@ p2 AS (SELECT o.seq, o.i, o.size, o.w, o.l1, o.l2, o.l3, {_LEVEL(2, '((n1.n + 0.
 p3 AS (SELECT p2.* EXCLUDE (p), {_LEVEL(3, 'p2.p')} AS p FROM p2 LEFT JOIN n3 ON n3.l2 = p2.l2 AND n3.l1 = p2.l1 AND n3.w = p2.w LEFT JOIN x3 ON x3.l2 = p2.l2 AND x3.l1 = p2.l1),
 p4 AS (SELECT p3.* EXCLUDE (p), {_LEVEL(4, 'p3.p')} AS p FROM p3 LEFT JOIN n4 ON n4.l3 = p3.l3 AND n4.l2 = p3.l2 AND n4.l1 = p3.l1 AND n4.w = p3.w LEFT JOIN x4 ON x4.l3 = p3.l3 AND x4.l2 = p3.l2 AND x4.l1 = p3.l1),
 sc AS (SELECT seq, avg(CASE WHEN i >= 4 OR (size = 3 AND i = 3) THEN -log2(p) END) AS score FROM p4 GROUP BY seq)"""
-_ENTROPY = lambda n, text="value": f"(SELECT sum(-x / t * log2(x / t)) FROM (SELECT count(*)::DOUBLE AS x, sum(count(*)) OVER ()::DOUBLE AS t FROM (SELECT substr({text}, i, {n}) AS g FROM (SELECT unnest(range(1, length({text}) - {n} + 2)) AS i)) GROUP BY g))"
+_ENTROPY = lambda n, text="bytes": f"(SELECT sum(-x / t * log2(x / t)) FROM (SELECT count(*)::DOUBLE AS x, sum(count(*)) OVER ()::DOUBLE AS t FROM (SELECT substr({text}, 2 * i - 1, {2 * n}) AS g FROM (SELECT unnest(range(1, length({text}) // 2 - {n} + 2)) AS i)) GROUP BY g))"
 
 
 def _scored(spark, sf) -> DataFrame:
@@ -251,11 +253,11 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
         f"{_ROC}, p AS (SELECT fpr, tpr FROM f UNION ALL VALUES (0.0::DOUBLE, 0.0::DOUBLE), (1.0::DOUBLE, 1.0::DOUBLE)) SELECT round(sum(a), 6) AS auc FROM (SELECT (fpr - lag(fpr) OVER (ORDER BY fpr, tpr)) * (tpr + lag(tpr) OVER (ORDER BY fpr, tpr)) / 2 AS a FROM p)",
     ),
     "best_f1_threshold": (lambda s, d: _rounded(anomaly.best_f1(_curve(s, d)), "f1"), f"{_ROC} SELECT threshold, round(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, threshold LIMIT 1"),
-    "shannon_entropy": (lambda s, d: _env(s, d).select("id", F.round(entropy.shannon_entropy(F.col("value")), 6).alias("h")), f"WITH v AS ({ENV}) SELECT id, round({_ENTROPY(1)}, 6) AS h FROM v"),
-    "bigram_entropy": (lambda s, d: _env(s, d).select("id", F.round(entropy.ngram_entropy(F.col("value"), 2), 6).alias("h")), f"WITH v AS ({ENV}) SELECT id, round({_ENTROPY(2)}, 6) AS h FROM v"),
+    "shannon_entropy": (lambda s, d: _env(s, d).select("id", F.round(entropy.shannon_entropy(F.col("value")), 6).alias("h")), f"WITH v AS (SELECT id, hex(value) AS bytes FROM ({ENV})) SELECT id, round({_ENTROPY(1)}, 6) AS h FROM v"),
+    "bigram_entropy": (lambda s, d: _env(s, d).select("id", F.round(entropy.ngram_entropy(F.col("value"), 2), 6).alias("h")), f"WITH v AS (SELECT id, hex(value) AS bytes FROM ({ENV})) SELECT id, round({_ENTROPY(2)}, 6) AS h FROM v"),
     "conditional_entropy": (
         lambda s, d: _env(s, d).select("id", F.round(entropy.conditional_entropy(F.col("value")), 6).alias("h")),
-        f"WITH v AS ({ENV}), z AS (SELECT id, value, substr(value, 1, length(value) - 1) AS head FROM v) SELECT id, round(greatest({_ENTROPY(2)} - {_ENTROPY(1, 'head')}, 0), 6) AS h FROM z",
+        f"WITH v AS (SELECT id, hex(value) AS bytes FROM ({ENV})), z AS (SELECT id, bytes, substr(bytes, 1, length(bytes) - 2) AS head FROM v) SELECT id, round(greatest({_ENTROPY(2)} - {_ENTROPY(1, 'head')}, 0), 6) AS h FROM z",
     ),
     "secret_posterior": (lambda s, d: entropy.secret_scores(_env(s, d)).select("id", F.round("posterior", 9).alias("posterior")), None),
     "env_screen": (lambda s, d: entropy.screen(_env(s, d)).select("id", "name"), None),

@@ -123,3 +123,39 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40
+
+
+#: Commands, how many ranges they have, and (range, types or features that it has, ones that it lacks).
+RANGES = [
+    ("echo $VAR", 1, (0, "VARS", "")), ("echo ${VAR}", 1, (0, "VARS", "")), ("echo $1", 1, (0, "VARS", "")), ("echo $? $$ $#", 1, (0, "VARS", "")), ("echo hello", 1, (0, "", "VARS SUBSHELL ARITH")),
+    ("ls *.txt", 1, (0, "GLOBS", "")), ("ls file?.txt", 1, (0, "GLOBS", "")), ("ls [abc].txt", 1, (0, "GLOBS", "")), ("ls file.txt", 1, (0, "", "GLOBS")), ("cat << EOF\n[content]\nEOF", 4, (0, "", "")),
+    ("echo $(date)", 1, (0, "SUBSTITUTION SUBSHELL", "")), ("echo `date`", 1, (0, "SUBSTITUTION SUBSHELL", "")), ("echo $((1+2))", 1, (0, "ARITH", "")), ("echo $((x + y))", 1, (0, "ARITH VARS", "")),
+    ("echo 1+2", 1, (0, "", "ARITH")), ("echo $VAR | grep pattern", 2, (0, "VARS", "")), ("$(cmd) | cat", 2, (0, "SUBSHELL", "")), ("x=$((1+2)) || y=0", 2, (0, "ARITH", "")),
+    ("cat <(id)", 1, (0, "SUBSTITUTION PROCESS_SUB", "")), ("echo ok && cat <(id)", 2, (0, "PROCESS_SUB", "")), ("echo $-", 1, (0, "VARS", "")), ("while true", 1, (0, "LOOPS", "")), ("if true", 1, (0, "CONDITIONALS", "")),
+    ("case value", 1, (0, "CASE", "")), ("echo $(<file)", 1, (0, "SUBSHELL SUBSHELL_FILE", "")), ("echo '$VAR'", 1, (0, "", "VARS")), ('echo "*.txt"', 1, (0, "", "GLOBS")), ("ls '*.txt'", 1, (0, "", "GLOBS")),
+    ("echo $(a $(b $(c)))", 1, (0, "SUBSHELL", "")), ("x=$(echo $y)", 1, (0, "SUBSHELL VARS", "")), ("if [ $x -gt 0 ]; then echo positive; fi", 3, (0, "VARS", "")), ("cmd <<< string", 2, (1, "HERESTRING", "")), ("cat <<- EOF", 3, (1, "HEREDOC", "")),
+]
+
+
+@pytest.mark.parametrize("command,count,at", RANGES)
+def test_ranges_of_the_fast_parser(command, count, at):
+    error, ranges = shell.parse_fast(command)
+    assert error is None and len(ranges) == count
+    which, has, lacks = at
+    names = {k for k, v in shell.FEATURE_BITS.items() if ranges[which][3] & v} | {k for k, v in shell.TYPE_BITS.items() if ranges[which][2] & v}
+    assert set(has.split()) <= names and not set(lacks.split()) & {k for k, v in shell.FEATURE_BITS.items() if ranges[which][3] & v}
+
+
+def test_here_document_is_one_document():
+    error, nodes, edges = shell.depgraph("cat << 'END'\nrm -rf /\nsecond line\nEND\necho done")
+    here = [n for n in nodes if n.get("doc_kind") == "HEREDOC"]
+    assert error is None and [n["value"] for n in here] == ["rm -rf /\nsecond line\n"]
+    assert [n["tokens"] for n in nodes if n["kind"] == "CMD"] == [["cat"], ["echo", "done"]]
+
+
+def test_entropy_counts_bytes(spark):
+    text = "ééé日本語パスワード"
+    data = text.encode()
+    want = -sum(data.count(b) / len(data) * math.log2(data.count(b) / len(data)) for b in set(data))
+    got = spark.createDataFrame([(text,)], "v string").select(entropy.shannon_entropy(F.col("v"))).first()[0]
+    assert abs(got - want) < 1e-9
