@@ -435,6 +435,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         # Crowded keys: each member goes to the tiles of its block with every block.
         blocks = F.ceil(F.col("n") / TILE)
         large = named.filter(F.col("n") > SMALL).withColumn("before", F.lag("key").over(W.partitionBy("text_key").orderBy(F.desc("n"), "key")))  # a text's keys are fewer than its words
+        # A key whose members all have one and the same key before it makes no new pair.
+        mixed = large.groupBy("key").agg(F.min("before").alias("a"), F.max("before").alias("b"), F.count("before").alias("c"), F.count(F.lit(1)).alias("k")).filter("c < k or a <> b").select("key")
+        large = large.join(written(mixed, "mixed-keys"), "key")
         large = large.join(bags.select("text_key", "bag"), "text_key").withColumn("block", F.pmod(F.xxhash64("text_key"), blocks))
         large = large.select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with"))
         large = large.select("key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "before", "text_key", "root", "n_words", "bag")
