@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: The six ASCII separators 0x20 and 0x09-0x0D, as a Java class and as characters.
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
+#: The session's setting that removes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,7 +55,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and survive the loss of any executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    # The shuffle files of this write go with it; nothing else reads them, as its rows are on disk.
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
