@@ -55,7 +55,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._shared import forget, written
+from ._shared import forget, settings, written
 
 #: Words of a shingle and the similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -69,6 +69,8 @@ BAG, SMALL, TILE = 256, 16, 256
 MEETINGS, MET, CELLS = 1, 8, 1 << 18
 #: Parts that the edges of one centre are dealt to.
 SALTS = 8
+#: Rows and bytes of whole texts that are sent to a Python worker at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 _RNG = np.random.default_rng(20_011)
 _BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -358,6 +360,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """Per row of docs (doc_id, text): doc_id, text_key, class_id, class_key (the text that stands for the class: of
     those with the class's smallest id, null last, the one with the smallest key), copies (rows of the same text),
     links (different texts it was found similar to)."""
+    with settings(docs.sparkSession, BATCHES):
+        return _classes(docs, similarity)
+
+
+def _classes(docs: DataFrame, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     docs = keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     texts = written(docs.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("text").alias("text")), "texts")
