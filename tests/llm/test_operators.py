@@ -209,6 +209,33 @@ def one_bucket(sketch):
     return run
 
 
+def test_bags_tell_long_texts_apart():
+    """Unlike texts of one vocabulary are ruled out before their words are read, near ones are not; of unlike sizes too."""
+    import pandas as pd
+
+    r = random.Random(13)
+    for n in (900, 1100, 5000):
+        a, b = ([f"{r.choice(VOCABULARY)}{r.randrange(99)}" for _ in range(k)] for k in (n, n - n // 8))
+        near = [x if i % 6 else "other" for i, x in enumerate(a)][: n - n // 50]
+        (size, _, bag), *others = [dedup.sketch(" ".join(x)) for x in (a, b, near)]
+        pairs = pd.DataFrame({"text_key": [b"a", b"a"], "leader": [b"b", b"n"], "bag": [bag] * 2, "other": [x[2] for x in others], "most": [size] * 2})
+        assert [bytes(x) for f in dedup._filtered(0.8)([pairs]) for x in f["leader"]] == [b"n"]
+
+
+def test_portions_of_pairs_lose_none(spark, monkeypatch):
+    """Pairs that are carried in several portions are all compared."""
+    r, texts = random.Random(17), []
+    for _ in range(4):
+        words = [r.choice(VOCABULARY) for _ in range(60)]
+        texts += [" ".join([*words[:at], "other", *words[at + 1 :]]) for at in range(3)]
+    steps, same = [], dedup.written
+    monkeypatch.setattr(dedup, "_sketches", one_bucket(dedup.sketch))
+    monkeypatch.setattr(dedup, "PART_LEAST", 1)
+    monkeypatch.setattr(dedup, "written", lambda df, name: steps.append(name) or same(df, name))
+    got = classes(spark, texts)
+    assert [got[i] for i in range(12)] == [i - i % 3 for i in range(12)] and steps.count("verified") > 3
+
+
 @pytest.mark.parametrize("n", [5, 12, 30, 200, 500])
 def test_recall_of_the_sketch_by_similarity(n):
     """Pairs with spread substitutions, at every similarity from that of a link on, share a band."""
