@@ -222,6 +222,38 @@ def test_bags_tell_long_texts_apart():
         assert [bytes(x) for f in dedup._filtered(0.8)([pairs]) for x in f["leader"]] == [b"n"]
 
 
+def test_common_lines_make_no_pairs_of_other_buckets(spark, monkeypatch):
+    """Texts of two common passages: those of one are compared, not those of the other that have a rare pair of words too."""
+    r, steps, same = random.Random(5), [], dedup.written
+    some = lambda n, of: [f"{of}{r.randrange(10**6)}" for _ in range(n)]
+    first, second = some(40, "a"), some(40, "b")
+    rare = [some(12, "c") for _ in range(30)]
+    texts = [" ".join(p + [w for k in range(0, 12, 2) for w in rare[i][k : k + 2] + some(3, "d")]) for p in (first, second) for i in range(30)]
+    texts.append(" ".join(texts[3].split()[:-6]))
+
+    def seen(df, name):
+        out = same(df, name)
+        if name == "close":
+            steps.append([(bytes(x.text_key), bytes(x.leader)) for x in out.collect()])
+        return out
+
+    monkeypatch.setattr(dedup, "written", seen)
+    got = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in got} == {i: 3 if i == 60 else i for i in range(61)}
+    of = {bytes(x.text_key): x.doc_id // 30 % 2 for x in got}  # the last one is of the first passage
+    assert not [x for x in sum(steps, []) if of[x[0]] != of[x[1]]]
+
+
+def test_bags_tell_texts_of_a_common_passage_apart():
+    import pandas as pd
+
+    r = random.Random(3)
+    same = [f"a{r.randrange(10**9)}" for _ in range(600)]
+    (_, _, a), (_, _, b) = [dedup.sketch(" ".join(same + [f"b{r.randrange(10**9)}" for _ in range(220)])) for _ in range(2)]
+    pairs = pd.DataFrame({"text_key": [b"a"], "leader": [b"b"], "bag": [a], "other": [b], "most": [820]})
+    assert not sum(len(x) for x in dedup._filtered(0.8)([pairs]))
+
+
 def test_portions_of_pairs_lose_none(spark, monkeypatch):
     """Pairs that are carried in several portions are all compared."""
     r, texts = random.Random(17), []
