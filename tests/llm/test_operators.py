@@ -94,6 +94,25 @@ def test_every_token_is_trained_on():
     assert model.score([ids])[0] > lm.Gru.of_flat(flat).score([ids])[0] + 20
 
 
+def test_texts_are_scored_side_by_side(spark, monkeypatch):
+    """A long text costs its steps once for thousands of others, not once for each thousand."""
+    import pandas as pd
+
+    class Shared:
+        value = (b"\n".join(w.encode() for w in VOCABULARY), np.arange(len(VOCABULARY))[::-1])
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    steps, same = [], lm.Gru.step
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: Task)
+    monkeypatch.setattr(lm.Gru, "step", lambda self, *x: steps.append(1) or same(self, *x))
+    texts = [" ".join(VOCABULARY[:100]) if i % 1000 == 0 else VOCABULARY[i % 40] for i in range(4000)]
+    run = lm._scorer(Shared, lm.Gru.start(np.ones(lm.VOCABULARY)).flat(), 1)
+    got = pd.concat(run([pd.DataFrame({"doc_id": range(4000), "text": texts, "held_out": False})]))
+    assert len(steps) <= 101 and got.doc_id.tolist() == list(range(4000)) and got.n_tokens.tolist() == [101 if i % 1000 == 0 else 2 for i in range(4000)]
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(0)
     model = lm.Gru.start(np.ones(lm.VOCABULARY))
