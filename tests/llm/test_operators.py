@@ -205,6 +205,38 @@ def test_copies_behind_unlike_leaders(spark, monkeypatch):
         assert [got[i] for i in range(len(many))] == [i - i % 2 if i < 24 else i for i in range(len(many))]
 
 
+@pytest.mark.parametrize("middle", [16, 256])
+def test_buckets_of_some_size_meet_in_a_group(spark, monkeypatch, middle):
+    """Near copies among unlike texts of one bucket are found by bags of its members and by rare pairs of words; the
+    first needs no texts, and only pairs that may be near come out."""
+    r, steps, same = random.Random(23), {}, dedup.written
+    monkeypatch.setattr(dedup, "_sketches", one_bucket(dedup.sketch))
+    monkeypatch.setattr(dedup, "MIDDLE", middle)
+    monkeypatch.setattr(dedup, "written", lambda df, name: steps.setdefault(name, []).append(same(df, name)) or steps[name][-1])
+    monkeypatch.setattr(dedup, "forget", lambda *x: None)
+    texts = [" ".join(r.choice(VOCABULARY) for _ in range(60)) for _ in range(60)]
+    texts += [" ".join([*t.split()[:30], "other", *t.split()[31:]]) for t in texts[:20]]
+    got = classes(spark, texts)
+    assert [got[i] for i in range(80)] == [i - 60 if i >= 60 else i for i in range(80)]
+    assert ("crowded" in steps) == (middle == 16) and steps["close"][-1].count() <= 60
+    # The pairs' texts are few: they are at hand, in no portions.
+    assert "at-hand" in steps and len(steps["verified"]) <= 3
+
+
+def test_components_by_a_worker_and_by_stars(spark, monkeypatch):
+    r = random.Random(2)
+    edges = [tuple(bytearray(x.to_bytes(2, "big")) for x in (r.randrange(300), r.randrange(300))) for _ in range(170)]
+    root = {bytes(x): bytes(x) for e in edges for x in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b:
+            old, new = sorted((root[bytes(a)], root[bytes(b)]), reverse=True)
+            root = {k: new if v == old else v for k, v in root.items()}
+    table = spark.createDataFrame(edges, "a binary, b binary")
+    for most in (1 << 19, 0):
+        monkeypatch.setattr(dedup, "EDGES", most)
+        assert {bytes(x.text_key): bytes(x.root) for x in dedup._components(table).collect()} == root
+
+
 def test_one_row_of_each_class_stays(spark):
     """Null and repeated ids: classes are told apart by their texts."""
     near = PROSE[0] + " extra"
