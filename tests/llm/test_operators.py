@@ -357,6 +357,26 @@ def test_cached_encoding_is_that_of_whole_texts(name, cut):
     assert [x.tolist() for x in mine.encode(texts, 3)] == want
 
 
+def test_new_words_go_to_the_library_together():
+    enc = encoding.Encoder(tokens.tokenizer_path("word_bpe_49k.json"), "drop")
+    library, calls = enc.tokenizer, []
+
+    class Counted:
+        def encode(self, text, **more):
+            calls.append(1)
+            return library.encode(text, **more)
+
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    enc.tokenizer = Counted()
+    texts = [" ".join(VOCABULARY), "It's (well-known), 100% x_y<|endoftext|>\x00\x1c a\x1fb 's ## \x7f", "caf\u00e9 \u0301e fianc\u00e9e na\u00efve \u00a0 z", SECRET, *PROSE]
+    got = enc.encode(texts, 1)
+    assert [x.tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert len(calls) < len(VOCABULARY) / 8
+
+
 def test_token_files_round_trip(spark, tmp_path):
     uri, df = f"file://{tmp_path}/t", table(spark).select("doc_id", "text", "lang")
     path = tokens.tokenizer_path(tokens.TOKENIZER)
