@@ -167,6 +167,17 @@ def test_banded_alignment():
         assert dedup.within(a, b, k) == (distance(a, b) <= k)
 
 
+def test_near_duplicates_give_back_the_drivers_memory(spark):
+    """Whole collections at the ends of rounds, not when the heap is full (what is below it stays with the driver)."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    texts = [" ".join([*map(str, range(i, i + 40)), x]) for i in range(0, 4000, 100) for x in ("one", "other")]
+    got = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert whole() >= before + 3
+    assert {x.doc_id: x.class_id for x in got.collect()} == {i: i - i % 2 for i in range(80)}
+
+
 def test_near_duplicates_against_brute_force(spark):
     r, texts = random.Random(5), []
     for _ in range(12):
