@@ -388,6 +388,29 @@ def test_new_words_go_to_the_library_together():
     assert len(calls) < len(VOCABULARY) / 8
 
 
+def test_new_byte_level_pieces_go_to_the_library_together():
+    enc = encoding.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"), "prefix")
+    library, calls = enc.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    enc.tokenizer = Counted()
+    r = random.Random(3)
+    many = [" ".join("".join(r.choice("abcé́Σ's.,12!<|>_\x00\u4e2d😀") for _ in range(r.randrange(1, 9))) for _ in range(3000)) for _ in range(3)]
+    texts = [" ".join(VOCABULARY), *many, "It's  (well-known),\n x_y<|endoftext|> \x1c a\x1fb 's \u00a0 z ", " a ", SECRET, *PROSE]
+    got = enc.encode(texts, 0)
+    assert [x.tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert len(calls) < enc.pieces / 16
+    # Where sizes do not tell the pieces apart, each goes alone.
+    calls.clear()
+    enc._start_anew()
+    enc.sizes = enc.sizes + 1
+    assert [x.tolist() for x in enc.encode(texts, 0)] == [x.tolist() for x in got] and len(calls) >= enc.pieces
+
+
 def test_token_files_round_trip(spark, tmp_path):
     uri, df = f"file://{tmp_path}/t", table(spark).select("doc_id", "text", "lang")
     path = tokens.tokenizer_path(tokens.TOKENIZER)
