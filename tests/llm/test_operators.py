@@ -330,6 +330,17 @@ def test_portions_of_pairs_lose_none(spark, monkeypatch):
     assert [got[i] for i in range(12)] == [i - i % 3 for i in range(12)] and steps.count("verified") > 3
 
 
+def test_texts_are_not_written_again(spark, monkeypatch):
+    """No table holds the texts but that of the pairs'; copies of one text are one all the same."""
+    r, tables, same = random.Random(29), [], dedup.written
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) for _ in range(40)]
+    monkeypatch.setattr(dedup, "written", lambda df, name: tables.append((name, df.columns)) or same(df, name))
+    texts += texts[:5] * 3 + [" ".join([*texts[0].split()[:100], "other", *texts[0].split()[101:]])] * 2
+    got = classes(spark, texts)
+    assert [got[i] for i in range(57)] == [*range(40), *list(range(5)) * 3, 0, 0]
+    assert {k for k, names in tables if "text" in names} == {"at-hand"}  # the texts of pairs
+
+
 @pytest.mark.parametrize("n", [5, 12, 30, 200, 500])
 def test_recall_of_the_sketch_by_similarity(n):
     """Pairs with spread substitutions, at every similarity from that of a link on, share a band."""
