@@ -1,9 +1,11 @@
 """Offers for unmatched commands, variants of a token, model files and graph checks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from cmdlake.functions import lattice, shell
+from cmdlake.functions import classify, lattice, shell
 from cmdlake.operators import anomaly, learner, policy, suggest
 from cmdlake.sources import models
 
@@ -70,3 +72,34 @@ def test_graphs(spark):
     assert all(len(r.problems) == r.n for r in shell.graph_problems(bad).join(bad.select("cmd_id", F.size("edges").alias("n")), "cmd_id").collect())
     text = models.graph_text(g).filter("cmd_id = 1").first().text
     assert "CMD ls" in text and "edge" in text
+
+
+def times_typed(df):
+    """How often the plan cuts commands into tokens."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
+def test_a_command_is_typed_once(spark):
+    cmds, parsed = commands(spark, "git log", "ls -l"), policy.parse(spark.createDataFrame([("git *",), ("* -l",)], "pattern string"))
+    tables = {
+        "match_all": policy.match_all(cmds, parsed), "match_best": policy.match_best(cmds, parsed), "verdicts": policy.verdicts(cmds, parsed, parsed),
+        "unmatched": suggest.unmatched(cmds, parsed), "learned": learner.learned(cmds),
+    }
+    assert {k: times_typed(v) for k, v in tables.items()} == dict.fromkeys(tables, 1)
+
+
+def test_unmatched_of_repeated_and_null_ids(spark):
+    rules = policy.parse(spark.createDataFrame([("git log",), ("ls #sopt",)], "pattern string"))
+    rows = [(1, "git show"), (1, "git show"), (2, "git log"), (2, "git show"), (None, "ls -l"), (None, "git x"), (3, "")]
+    got = sorted(map(str, (tuple(r) for r in suggest.unmatched(spark.createDataFrame(rows, "cmd_id long, command string"), rules).filter("idx = 0").collect())))
+    assert got == sorted(map(str, [(1, 0, "git show", "git log", 0.5)] * 2 + [(None, 0, "ls -l", None, 0.0), (None, 0, "git x", None, 0.0)]))
+
+
+def test_types_by_shape(spark):
+    """The recognisers left out for a shape of token know none of that shape."""
+    r = random.Random(5)
+    tokens = {"".join(r.choice(letters) for _ in range(r.randrange(1, 12))) for letters in ("-a1", "0123456789-", "0123456789abcdefx", "abcdefABCDEF_", "019KMGTiBbsmhdnu", "-aZ9_") for _ in range(300)}
+    tokens |= {w for x in (classify.SIGNALS, classify.METHODS, classify.REFS, classify.USERS, classify.ALGORITHMS) for w in x} | {"SIGTERM", "_", "-", "--", "--0", "a\n", "-a\n", "é", "2024"}
+    rows = spark.createDataFrame([(t,) for t in sorted(tokens)], "t string")
+    plain = classify.cascade(F.col("t"), F.when(F.col("t").isNull(), F.lit(None).cast("string")))
+    assert rows.select("t", classify.token_type(F.col("t")).alias("a"), plain.alias("b")).filter("a <> b").collect() == []
