@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cmdlake.functions import classify, lattice, shell
-from cmdlake.operators import anomaly, learner, policy, suggest
+from cmdlake.functions import classify, entropy, lattice, shell
+from cmdlake.operators import anomaly, gate, learner, policy, suggest
 from cmdlake.sources import models
 
 
@@ -103,3 +105,31 @@ def test_types_by_shape(spark):
     rows = spark.createDataFrame([(t,) for t in sorted(tokens)], "t string")
     plain = classify.cascade(F.col("t"), F.when(F.col("t").isNull(), F.lit(None).cast("string")))
     assert rows.select("t", classify.token_type(F.col("t")).alias("a"), plain.alias("b")).filter("a <> b").collect() == []
+
+
+def test_entropies_of_the_screen_are_computed_once(spark):
+    env = spark.createDataFrame([("API_KEY", "sk-abcdef1234567890abcdef"), ("A", None), ("B", "é日本語パスワード"), ("C", "")], "name string, value string")
+    plan = entropy.screen(env)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_sort") == 2  # without the prefix, and whole
+
+
+def test_ratios_of_one_length_are_measured_together():
+    texts = [None, "", "x", "é", "a" * 20, "ab" * 8] + ["".join(random.Random(i).choice("abcXYZ019-") for _ in range(i % 40)) for i in range(200)]
+    many = entropy.permutation_ratios.func(pd.Series(texts, dtype=object))
+    one = pd.concat([entropy.permutation_ratios.func(pd.Series([t], dtype=object)) for t in texts], ignore_index=True)
+    pd.testing.assert_frame_equal(many, one)
+    assert many.isna().all(axis=1).tolist() == [t is None for t in texts]
+    assert len(entropy._entropies(np.zeros((3, 5), int))) == 3 and entropy._entropies(np.arange(8)[None])[0] == 3.0
+
+
+def test_the_gate_parses_once(spark, monkeypatch):
+    """Models and scores read written sequences, and verdicts written graphs."""
+    seen, many = [], commands(spark, "ls | sort", "cd /tmp ; ls", "cat a")
+    monkeypatch.setattr(gate, "graphs", lambda *x: seen.append("graph") or shell.graphs(*x))
+    raw, typed = gate.sequences(many)
+    scored = gate.anomaly_scores(many, anomaly.model(raw), anomaly.model(typed), read=(raw, typed))
+    assert seen == ["graph"] and scored.count() == 3
+    rules = policy.parse(spark.createDataFrame([("ls",), ("cat *",)], "pattern string"))
+    for df in (scored, gate.evaluate(many, rules, rules)):
+        assert "MapInPandas" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert shell.graphs(many).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
